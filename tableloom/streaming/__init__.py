@@ -1,0 +1 @@
+"""No streaming operators: the engine covers batch work only (see README)."""
