@@ -191,3 +191,9 @@ def prediction_stats(df: DataFrame, prediction: str, positive_at: float | None =
         aggs += [F.count_if(hit).alias("n_positive"),
                  F.try_divide(F.count_if(hit) * 100.0, F.count(prediction)).alias("positive_pct")]
     return df.agg(*aggs)
+
+
+def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows per entity with their `rank`. Spark drops the rest before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn("rank", rank).where(F.col("rank") <= n)

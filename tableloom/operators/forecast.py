@@ -67,6 +67,10 @@ def forecast_trend_season(series: DataFrame, y: str, by: Sequence[str] = (), per
     `series` has one row per month with the month number `t`. All series are fitted in one job by
     closed-form aggregates; a month never seen before gets no seasonal part.
     """
+    if not by:
+        # One series: a constant key keeps the joins equi-joins.
+        single = forecast_trend_season(series.withColumn("__all", F.lit(0)), y, ["__all"], periods)
+        return single.drop("__all")
     base = F.col("t") - 1970 * 12
     x = base.cast("double")
     value = F.col(y).cast("double")
@@ -75,7 +79,7 @@ def forecast_trend_season(series: DataFrame, y: str, by: Sequence[str] = (), per
         F.max("t").alias("last"),
     ).withColumns({"slope": F.coalesce("slope", F.lit(0.0)), "icept": F.coalesce("icept", "level")})
     on = list(by)
-    joined = series.join(fit, on) if on else series.join(fit, F.lit(True))
+    joined = series.join(fit, on)
     residual = value - (F.col("icept") + F.col("slope") * x)
     season = joined.groupBy(*on, (F.col("t") % 12).alias("moy")).agg(F.avg(residual).alias("season"))
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon(periods)))).alias("step")

@@ -65,7 +65,7 @@ def join_tables(
     if salt <= 1:
         return l.join(r, match, how).select(*final)
     dealt = l.withColumn("__salt", F.pmod(F.xxhash64(*l.columns), F.lit(salt)))
-    copies = r.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("bigint"))
+    copies = r.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
     joined = dealt.join(copies, (F.col("__salt") == F.col("__copy")) & match, "left" if how == "full" else how).select(*final)
     if how != "full":
         return joined

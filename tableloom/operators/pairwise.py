@@ -104,8 +104,10 @@ def over_tiles(
 ) -> DataFrame:
     """Run `kernel` once for every unordered pair of blocks, a block with itself included."""
     packed, blocks = _blocks(vectors, block_rows, largest, label)
-    left = packed.select("*", F.col("b").alias("i"), F.explode(F.sequence("b", F.lit(blocks - 1))).alias("j"))
-    right = packed.select("*", F.explode(F.sequence(F.lit(0), "b")).alias("i"), F.col("b").alias("j"))
+    # Aliased, so that the two sides have columns of their own.
+    content = [F.col(c).alias(c) for c in ("ids", "mat", "labels")]
+    left = packed.select(*content, F.col("b").alias("i"), F.explode(F.sequence("b", F.lit(blocks - 1))).alias("j"))
+    right = packed.select(*content, F.explode(F.sequence(F.lit(0), "b")).alias("i"), F.col("b").alias("j"))
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:

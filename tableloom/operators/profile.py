@@ -192,6 +192,12 @@ def conversion_losses(before: DataFrame, after: DataFrame, columns: Sequence[str
     )
 
 
+def parse_datetime(df: DataFrame, col: str, fmt: str = "yyyy-MM-dd HH:mm:ss", strict: bool = False) -> DataFrame:
+    """Text to a timestamp without time zone; unreadable text fails when strict, else becomes null."""
+    parse = F.to_timestamp if strict else F.try_to_timestamp
+    return df.withColumn(col, parse(F.col(col), F.lit(fmt) if not strict else fmt).cast("timestamp_ntz"))
+
+
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Numbers where the text is one, null otherwise."""
     return df.withColumns({c: to_number(F.col(c)) for c in columns})

@@ -29,6 +29,7 @@ def build_session(cores: int | str = "*", app: str = "tableloom", **conf: str) -
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     settings = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.shuffle.partitions": "8" if cores == "*" else str(cores),
         "spark.sql.session.timeZone": "UTC",
