@@ -6,47 +6,50 @@ from pyspark.sql import DataFrame, functions as F
 
 from tableloom.session import cut_lineage
 
+JUMPS = 3
+
 
 def _flatten(parent: DataFrame) -> DataFrame:
-    """Let every pointer jump to the end of its chain, doubling the distance each time."""
+    """Let every pointer (node, label) jump to the end of its chain, a power of the distance each time."""
     while True:
         up = parent.select(F.col("node").alias("__n"), F.col("label").alias("__up"))
-        jumped = cut_lineage(
-            parent.join(up, F.col("label") == F.col("__n"), "left")
-            .select("node", F.coalesce("__up", "label").alias("label"), (F.col("__up") < F.col("label")).alias("moved"))
-        )
-        parent = jumped.select("node", "label")
-        if jumped.where("moved").isEmpty():
-            return parent
+        far = parent.withColumn("__old", F.col("label"))
+        for _ in range(JUMPS):
+            # A root points to itself, so every label is a node. Hot labels are split by the skew join.
+            far = far.join(up, F.col("label") == F.col("__n")).select("node", F.col("__up").alias("label"), "__old")
+        parent = cut_lineage(far.select("node", "label", (F.col("label") < F.col("__old")).alias("moved")))
+        if parent.where("moved").isEmpty():
+            return parent.select("node", "label")
+        parent = parent.select("node", "label")
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of `edges` (a, b); the label is the smallest node of the component.
 
-    Each round hooks every node to its smallest neighbour, flattens the chains by doubling and
-    shrinks the graph to the roots, so the number of rounds grows with the logarithm of its size.
+    Each round hooks every node to its smallest neighbour, flattens the chains by jumping and shrinks
+    the graph to the roots, so the number of rounds grows with the logarithm of its size. An edge from
+    a node to itself brings in a lone node.
     """
-    graph = cut_lineage(
-        edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    result: DataFrame | None = None
+    graph = cut_lineage(_ordered(edges))
+    nodes = graph.select(F.col("a").alias("node")).unionByName(graph.select(F.col("b").alias("node"))).distinct()
+    rounds = []
+    graph = graph.where("a <> b")
     while not graph.isEmpty():
         both = graph.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
             graph.select(F.col("b").alias("node"), F.col("a").alias("other")))
         hooked = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label"))
         roots = _flatten(cut_lineage(hooked))
-        if result is None:
-            result = roots
-        else:
-            step = roots.select(F.col("node").alias("__n"), F.col("label").alias("__up"))
-            result = cut_lineage(
-                result.join(step, F.col("label") == F.col("__n"), "left").select("node", F.coalesce("__up", "label").alias("label")))
+        rounds.append(roots)
         la = roots.select(F.col("node").alias("a"), F.col("label").alias("la"))
         lb = roots.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        graph = cut_lineage(
-            graph.join(la, "a").join(lb, "b").where("la <> lb")
-            .select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
-    if result is None:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
-    loops = edges.where("a = b").select(F.col("a").alias("node")).distinct().join(result.select("node"), "node", "left_anti")
-    return result.unionByName(loops.select("node", F.col("node").alias("label")))
+        graph = cut_lineage(_ordered(
+            graph.join(la, "a").join(lb, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+    result = nodes.withColumn("label", F.col("node"))
+    for roots in rounds:
+        step = roots.select(F.col("node").alias("__n"), F.col("label").alias("__up"))
+        result = result.join(step, F.col("label") == F.col("__n"), "left").select("node", F.coalesce("__up", "label").alias("label"))
+    return result

@@ -187,13 +187,19 @@ def cosine_histogram(vectors: DataFrame, block_rows: int | None = None) -> DataF
     """(similarity, n) over the full symmetric matrix, the diagonal included; at most two million rows."""
 
     def kernel(tile: Tile) -> pd.DataFrame:
-        counts: dict[int, int] = {}
+        scale = 10**DIGITS
+        counts = np.zeros(2 * scale + 3, dtype=np.int64)
         for _, chunk in _chunks(tile.a, tile.b):
-            steps, n = np.unique(np.round(_cosine(chunk, tile.b) * 10**DIGITS).astype(np.int64), return_counts=True)
-            for s, k in zip(steps.tolist(), n.tolist()):
-                counts[s] = counts.get(s, 0) + k
+            # The quoted value as a whole number of steps from -1.
+            cells = chunk @ tile.b.T
+            cells += 10.0 ** -(DIGITS + 3)
+            cells *= scale
+            steps = np.rint(cells, out=cells).astype(np.int32)
+            steps += scale + 1
+            counts += np.bincount(steps.ravel(), minlength=len(counts))
+        found = np.nonzero(counts)[0]
         # A block with itself is the full square already; two different blocks stand for two squares.
-        return pd.DataFrame({"step": list(counts), "n": np.array(list(counts.values()), dtype="int64") * (1 if tile.same else 2)})
+        return pd.DataFrame({"step": found - scale - 1, "n": counts[found] * (1 if tile.same else 2)})
 
     tiles = over_tiles(vectors, kernel, "step long, n long", block_rows, unit=True)
     return tiles.groupBy("step").agg(F.sum("n").alias("n")).select((F.col("step") / 10**DIGITS).alias("similarity"), "n")

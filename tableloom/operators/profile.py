@@ -59,6 +59,8 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
     """One row per column: type class, rows, distinct values, has_nulls and, for numbers, min, max and mean."""
     columns = list(columns or df.columns)
     classes = {f.name: type_class(f.dataType) for f in df.schema.fields}
+    # Distinct counts run on their own: next to them the plain aggregates would be expanded per column too.
+    distinct = distinct_counts(df, columns, approx)
     aggs = {}
     for c in columns:
         col = F.col(f"`{c}`")
@@ -67,13 +69,19 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
         aggs[c] = {
             "type_class": F.lit(classes[c]),
             "n_rows": F.count(F.lit(1)),
-            "n_distinct": F.approx_count_distinct(col) if approx else F.count_distinct(col),
             "has_nulls": F.count(col) < F.count(F.lit(1)),
             "min_value": F.min(value),
             "max_value": F.max(value),
             "mean_value": F.avg(value),
         }
-    return _one_row_to_long(df, aggs)
+    return _one_row_to_long(df, aggs).join(distinct, "column_name").select(
+        "column_name", "type_class", "n_rows", "n_distinct", "has_nulls", "min_value", "max_value", "mean_value")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """(column_name, n_distinct), nulls not counted."""
+    count = F.approx_count_distinct if approx else F.count_distinct
+    return _one_row_to_long(df, {c: {"n_distinct": count(F.col(f"`{c}`"))} for c in columns})
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -129,7 +137,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def feature_eligibility(df: DataFrame, max_categories: int = 10) -> DataFrame:
     """is_numeric (numbers and booleans), unique_count and can_use = numeric or few categories."""
     numbers = set(numeric_columns(df, boolean=True))
-    base = profile(df).select("column_name", F.col("n_distinct").alias("unique_count"))
+    base = distinct_counts(df, df.columns).withColumnRenamed("n_distinct", "unique_count")
     is_numeric = F.col("column_name").isin(*numbers) if numbers else F.lit(False)
     return base.select(
         "column_name", is_numeric.alias("is_numeric"), "unique_count",

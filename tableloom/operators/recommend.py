@@ -122,9 +122,12 @@ def recommend_user(neighbours: DataFrame, owned: DataFrame, top: int = 5) -> Dat
     Only N neighbours per user enter; a neighbour shared by very many users is split at run time.
     """
     found = neighbours.select(F.col("id").alias("user"), "other", "similarity").join(
-        owned.select(F.col("user").alias("other"), "item"), "other")
-    scored = found.groupBy("user", "item").agg(F.least(rounded(F.avg("similarity"), 6), F.lit(1.0)).alias("confidence"))
-    fresh = scored.join(owned, ["user", "item"], "left_anti")
+        owned.select(F.col("user").alias("other"), "item"), "other").select("user", "item", "similarity")
+    # Owned items ride along without a similarity and drop their group: one shuffle instead of an extra join.
+    marked = found.withColumn("own", F.lit(0)).unionByName(
+        owned.select("user", "item", F.lit(None).cast("double").alias("similarity"), F.lit(1).alias("own")))
+    fresh = marked.groupBy("user", "item").agg(F.avg("similarity").alias("mean"), F.max("own").alias("own")).where("own = 0").select(
+        "user", "item", F.least(rounded(F.col("mean"), 6), F.lit(1.0)).alias("confidence"))
     rank = F.row_number().over(Window.partitionBy("user").orderBy(F.col("confidence").desc(), "item"))
     return fresh.withColumn("rank", rank).where(F.col("rank") <= top).select("user", "rank", "item", "confidence")
 

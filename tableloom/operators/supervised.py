@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -136,7 +136,7 @@ def classification_metrics(df: DataFrame, y: str, predicted: str) -> DataFrame:
     )
 
 
-def auc(df: DataFrame, y: str, score_col: str, buckets: int = 256) -> DataFrame:
+def auc(df: DataFrame, y: str, score_col: str, buckets: int = 64) -> DataFrame:
     """Exact ROC AUC as one row (`auc`): the chance that a positive outranks a negative, ties count half.
 
     Rows are first counted per distinct score. Score ranges of about equal size then supply the
@@ -147,10 +147,9 @@ def auc(df: DataFrame, y: str, score_col: str, buckets: int = 256) -> DataFrame:
         .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
     )
     # A short list of cut points; any cuts give the same answer, even ones only even out the work.
-    cuts = df.agg(F.percentile_approx(F.col(score_col).cast("double"), [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("s"))) if cuts else F.lit(0)
-    placed = counts.withColumn("b", bucket)
+    cuts = df.agg(F.percentile_approx(F.col(score_col).cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
+    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    placed = Bucketizer(splits=edges, inputCol="s", outputCol="b").transform(counts)
     below = Window.partitionBy(F.lit(0)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = placed.groupBy("b").agg(F.sum("neg").alias("n")).select("b", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("start"))
     within = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)

@@ -64,8 +64,11 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor costs no recomputation of earlier rounds."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write a step of an iteration to the shared folder and go on from there.
+
+    A lost executor then costs no earlier round, and the next plan knows the true size of its input,
+    so that Spark broadcasts what has become small and shuffles what has not.
+    """
+    path = work_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
