@@ -20,10 +20,13 @@ def load(
     fmt: str,
     schema: T.StructType | str | None = None,
     na_tokens: Sequence[str] = NA_TOKENS,
+    nan_as_null: bool | None = None,
 ) -> DataFrame:
     """One table from CSV, XLSX, JSON or Parquet. Missing-value tokens and NaN become null.
 
-    A schema saves the inference pass over the files, so give one for anything large.
+    A schema saves the inference pass over the files, so give one for anything large. Parquet has
+    nulls of its own and is read as it is, which lets filters reach the files; ask for `nan_as_null`
+    where a writer stored NaN instead.
     """
     if fmt == "csv":
         return read_csv(spark, path, schema, na_tokens)
@@ -34,7 +37,9 @@ def load(
     if fmt not in ("json", "parquet"):
         raise ValueError(f"unknown format: {fmt}")
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return clean_missing(reader.format(fmt).load(path), na_tokens=())
+    raw = reader.format(fmt).load(path)
+    clean = fmt != "parquet" if nan_as_null is None else nan_as_null
+    return clean_missing(raw, na_tokens=()) if clean else raw
 
 
 def read_csv(

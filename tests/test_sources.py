@@ -19,7 +19,7 @@ def test_csv_tokens_become_null_and_dates_stay_text(spark, tmp_path):
 
 def test_nan_becomes_null_on_load(spark, tmp_path):
     spark.sql("select 1 as id, double('NaN') as x union all select 2, 1.5").write.parquet(str(tmp_path / "p"))
-    assert {r["id"]: r["x"] for r in files.load(spark, str(tmp_path / "p"), "parquet").collect()} == {1: None, 2: 1.5}
+    assert {r["id"]: r["x"] for r in files.load(spark, str(tmp_path / "p"), "parquet", nan_as_null=True).collect()} == {1: None, 2: 1.5}
 
 
 def _workbook(path, rows):
