@@ -60,8 +60,14 @@ def group_quantiles(
         return values.groupBy(*keys).agg(direct)
     schema = T.StructType([df.schema[k] for k in keys])
     spark = df.sparkSession
-    if hot is None:
-        return _ranked_quantiles(values, keys, probs, out)
+    rest = lambda part: part.groupBy(*keys).agg(direct)
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    while hot is None:
+        # Too many to search one by one: search the largest, rank the others in windows that spill.
+        rest, limit = (lambda part: _ranked_quantiles(part, keys, probs, out)), max(64, limit * 64)
+        hot = hot_groups(values, keys, limit)
+    if not hot:
+        return rest(values)
     found = _narrowed_quantiles(values, keys, hot, probs)
     hot_schema = T.StructType(schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
     hot_out = spark.createDataFrame([(*k, q) for k, q in zip(hot, found)], hot_schema)
@@ -70,7 +76,7 @@ def group_quantiles(
     listed = F.broadcast(spark.createDataFrame(hot, schema).toDF(*[f"__{k}" for k in keys]))
     match = key_match([values[k] for k in keys], [listed[f"__{k}"] for k in keys])
     cold = values.join(listed, match, "left_anti")
-    return cold.groupBy(*keys).agg(direct).unionByName(hot_out)
+    return rest(cold).unionByName(hot_out)
 
 
 def _ranked_quantiles(values: DataFrame, keys, probs, out) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
+from tableloom.operators.pairwise import tile_partitions
 from tableloom.operators.profile import type_class
 from tableloom.sources.catalog import joined_name
 
@@ -326,10 +327,11 @@ def cooccurrence(
     blocks, slices = -(-n_items // tile_items), -(-n_large // tile_users)
     placed = large.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn(
         "s", F.pmod(F.xxhash64("u"), F.lit(slices)).cast("int"))
-    # Every block meets every block with the same or a higher number, once.
-    partners = F.sequence(F.lit(0), F.lit(blocks - 1))
-    tiles = placed.select("u", "i", "b", "s", F.explode(partners).alias("p")).select(
+    # An item meets the blocks its user has items in: never more copies than blocks, nor than the basket has items.
+    spans = placed.select("u", "b").distinct().groupBy("u").agg(F.collect_set("b").alias("partners"))
+    tiles = placed.join(spans, "u").select("u", "i", "b", "s", F.explode("partners").alias("p")).select(
         "u", "i", "s", "b", F.least("b", "p").alias("lo"), F.greatest("b", "p").alias("hi"))
+    tiles = tiles.repartition(tile_partitions(slices * blocks * (blocks + 1) // 2), "s", "lo", "hi")
 
     def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = key[1], key[2]

@@ -15,11 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
+from tableloom.session import cut_lineage
+
 # Similarities are quoted to six digits. Ranking uses the quoted value, ties go to the smaller id.
 DIGITS = 6
 PAIR_BLOCK = 2048
 MAX_BLOCK = 32_768
 CHUNK_CELLS = 4_000_000
+MAX_PARTITIONS = 20_000
 
 
 def quoted(x: np.ndarray) -> np.ndarray:
@@ -33,7 +36,14 @@ def _block_rows(vectors: DataFrame, n: int, largest: int) -> int:
     return int(min(largest, max(256, n / (2 * cores) ** 0.5)))
 
 
-def _blocks(vectors: DataFrame, block_rows: int | None, largest: int, label: str | None) -> tuple[DataFrame, int]:
+# Blocks of vectors as one row each, and their number.
+Packed = tuple[DataFrame, int]
+
+
+def pack_blocks(vectors: DataFrame, block_rows: int | None = None, largest: int = MAX_BLOCK, label: str | None = None) -> Packed:
+    """Deal the vectors into blocks; pass the result to several questions about the same vectors."""
+    # Computed once: the count decides on the blocks, then the same rows are packed.
+    vectors = cut_lineage(vectors.select("id", "vec", (F.col(label).cast("bigint") if label else F.lit(0).cast("bigint")).alias("label")))
     n = vectors.count()
     blocks = max(1, -(-n // (block_rows or _block_rows(vectors, n, largest))))
     kind = vectors.schema["id"].dataType
@@ -47,13 +57,15 @@ def _blocks(vectors: DataFrame, block_rows: int | None, largest: int, label: str
         mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
         return pd.DataFrame({"b": [key[0]], "ids": [pdf["id"].tolist()], "mat": [mat.tobytes()], "labels": [pdf["label"].tolist()]})
 
-    tagged = vectors.select(
-        "id", "vec", (F.col(label).cast("bigint") if label else F.lit(0).cast("bigint")).alias("label"),
-        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"),
-    )
+    tagged = vectors.select("id", "vec", "label", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     return tagged.groupBy("b").applyInPandas(pack, schema), blocks
 
 
+def tile_partitions(tiles: int) -> int:
+    """Partitions for this many tiles. Tiles are small to ship but heavy to work on, so they must not be merged."""
+    return max(1, min(2 * tiles, MAX_PARTITIONS))
+
+
 class Tile:
     """Two blocks side by side; `same` when a block meets itself."""
 
@@ -101,14 +113,18 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def over_tiles(
     vectors: DataFrame, kernel: Callable[[Tile], pd.DataFrame], schema: T.StructType | str,
     block_rows: int | None = None, unit: bool = False, label: str | None = None, largest: int = MAX_BLOCK,
+    packed: Packed | None = None,
 ) -> DataFrame:
     """Run `kernel` once for every unordered pair of blocks, a block with itself included."""
-    packed, blocks = _blocks(vectors, block_rows, largest, label)
+    packed, blocks = packed or pack_blocks(vectors, block_rows, largest, label)
     # Aliased, so that the two sides have columns of their own.
     content = [F.col(c).alias(c) for c in ("ids", "mat", "labels")]
     left = packed.select(*content, F.col("b").alias("i"), F.explode(F.sequence("b", F.lit(blocks - 1))).alias("j"))
     right = packed.select(*content, F.explode(F.sequence(F.lit(0), "b")).alias("i"), F.col("b").alias("j"))
 
+    parts = tile_partitions(blocks * (blocks + 1) // 2)
+    left, right = left.repartition(parts, "i", "j"), right.repartition(parts, "i", "j")
+
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame()
@@ -183,26 +199,60 @@ def cosine_pairs(vectors: DataFrame, min_sim: float, block_rows: int | None = No
     return over_tiles(vectors, kernel, schema, block_rows, unit=True, largest=PAIR_BLOCK)
 
 
-def cosine_histogram(vectors: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """(similarity, n) over the full symmetric matrix, the diagonal included; at most two million rows."""
+def _steps(chunk: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Quoted similarities as whole steps of the last digit."""
+    cells = chunk @ other.T
+    cells += 10.0 ** -(DIGITS + 3)
+    cells *= 10**DIGITS
+    return np.rint(cells, out=cells).astype(np.int32).ravel()
+
+
+# Steps per bucket: bucket k holds the similarities in (0.001 (k - 1), 0.001 k].
+BUCKET = 1000
+
+
+def _bucket(steps: np.ndarray) -> np.ndarray:
+    return -(-steps // BUCKET)
+
+
+def cosine_buckets(vectors: DataFrame, packed: Packed | None = None) -> DataFrame:
+    """(bucket, n, total) over the full symmetric matrix, diagonal included: cells and sum of steps per bucket."""
+    edge = 10**DIGITS // BUCKET + 1
 
     def kernel(tile: Tile) -> pd.DataFrame:
-        scale = 10**DIGITS
-        counts = np.zeros(2 * scale + 3, dtype=np.int64)
+        n, total = np.zeros(2 * edge + 1, dtype=np.int64), np.zeros(2 * edge + 1, dtype=np.int64)
         for _, chunk in _chunks(tile.a, tile.b):
-            # The quoted value as a whole number of steps from -1.
-            cells = chunk @ tile.b.T
-            cells += 10.0 ** -(DIGITS + 3)
-            cells *= scale
-            steps = np.rint(cells, out=cells).astype(np.int32)
-            steps += scale + 1
-            counts += np.bincount(steps.ravel(), minlength=len(counts))
-        found = np.nonzero(counts)[0]
+            steps = _steps(chunk, tile.b)
+            place = _bucket(steps) + edge
+            n += np.bincount(place, minlength=len(n))
+            total += np.bincount(place, weights=steps, minlength=len(n)).astype(np.int64)
+        found = np.nonzero(n)[0]
         # A block with itself is the full square already; two different blocks stand for two squares.
-        return pd.DataFrame({"step": found - scale - 1, "n": counts[found] * (1 if tile.same else 2)})
+        times = 1 if tile.same else 2
+        return pd.DataFrame({"bucket": found - edge, "n": n[found] * times, "total": total[found] * times})
+
+    tiles = over_tiles(vectors, kernel, "bucket long, n long, total long", unit=True, packed=packed)
+    return tiles.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
 
-    tiles = over_tiles(vectors, kernel, "step long, n long", block_rows, unit=True)
-    return tiles.groupBy("step").agg(F.sum("n").alias("n")).select((F.col("step") / 10**DIGITS).alias("similarity"), "n")
+def cosine_values(vectors: DataFrame, buckets: list[int], packed: Packed | None = None) -> DataFrame:
+    """(step, n) of the cells inside the named buckets; at most BUCKET rows each."""
+    edge = 10**DIGITS // BUCKET + 1
+    wanted = np.zeros(2 * edge + 1, dtype=bool)
+    wanted[np.array(buckets, dtype=int) + edge] = True
+
+    def kernel(tile: Tile) -> pd.DataFrame:
+        parts = []
+        for _, chunk in _chunks(tile.a, tile.b):
+            steps = _steps(chunk, tile.b)
+            step, n = np.unique(steps[wanted[_bucket(steps) + edge]], return_counts=True)
+            parts.append(pd.DataFrame({"step": step, "n": n}))
+        found = _concat(parts, ["step", "n"]).groupby("step", as_index=False)["n"].sum()
+        found["n"] *= 1 if tile.same else 2
+        return found
+
+    tiles = over_tiles(vectors, kernel, "step long, n long", unit=True, packed=packed)
+    return tiles.groupBy("step").agg(F.sum("n").alias("n"))
 
 
 def cosine_counts(vectors: DataFrame, min_sim: float, block_rows: int | None = None) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tableloom.functions.scalars import rounded
-from tableloom.operators.pairwise import cosine_counts, cosine_histogram, cosine_topn
+from tableloom.operators.pairwise import BUCKET, DIGITS, cosine_buckets, cosine_counts, cosine_topn, cosine_values, pack_blocks
 from tableloom.operators.profile import interaction_density
 
 
@@ -46,26 +47,62 @@ def choose_approach(df: DataFrame, item: str, user: str | None = None) -> DataFr
 
 
 def similarity_stats(vectors: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """Facts on the similarity matrix, diagonal included, from its histogram; the matrix is never stored."""
-    hist = cosine_histogram(vectors, block_rows)
-    sim, n = F.col("similarity"), F.col("n")
-    some = F.sum(n)
-    size = F.sqrt(some.cast("double"))
-    above = lambda t: F.sum(F.when(sim > t, n).otherwise(0))
-    quart = F.expr("percentile(if(similarity > 0, similarity, null), array(0.25, 0.5, 0.75), n)")
-    return hist.agg(
-        F.round(size).cast("bigint").alias("n_entities"),
-        (F.sum(sim * n) / some).alias("mean_similarity"),
-        F.max(sim).alias("max_similarity"),
-        F.min(F.when(sim > 0, sim)).alias("min_positive"),
-        quart.alias("q"),
-        (above(0.3) / size).alias("mean_above_03"),
-        (F.try_divide(above(0.5) / 2.0, size * (size - 1) / 2.0) * 100).alias("strong_pair_pct"),
-    ).select(
-        "n_entities", "mean_similarity", "max_similarity", "min_positive",
-        F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"),
-        "mean_above_03", "strong_pair_pct",
+    """Facts on the similarity matrix, diagonal included; one row. The matrix is never stored.
+
+    A first pass counts cells per bucket of 0.001, which yields sums and shares and shows the few
+    buckets that hold the smallest, the largest and the quartile values; a second pass looks into those.
+    """
+    packed = pack_blocks(vectors, block_rows)
+    # At most 2,002 rows.
+    buckets = sorted((r["bucket"], r["n"], r["total"]) for r in cosine_buckets(vectors, packed).collect())
+    cells = sum(n for _, n, _ in buckets)
+    size = round(cells**0.5)
+    above = lambda limit: sum(n for b, n, _ in buckets if b > limit)
+    positive, ranks = above(0), {}
+    if positive:
+        for name, p in (("min_positive", 0.0), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+            ranks[name] = p * (positive - 1)
+    wanted, seen = {buckets[-1][0]} if buckets else set(), 0
+    for b, n, _ in buckets:
+        if b > 0:
+            wanted |= {b for at in ranks.values() if seen <= int(at) < seen + n or seen <= ceil(at) < seen + n}
+            seen += n
+    inside: dict[int, list[tuple[int, int]]] = {}
+    if wanted:
+        for r in cosine_values(vectors, sorted(wanted), packed).collect():
+            inside.setdefault(-(-r["step"] // BUCKET), []).append((r["step"], r["n"]))
+
+    def value_at(rank: int) -> float:
+        """Similarity of the positive cell with this rank."""
+        below = 0
+        for b, n, _ in buckets:
+            if b <= 0:
+                continue
+            if rank < below + n:
+                for step, k in sorted(inside[b]):
+                    below += k
+                    if rank < below:
+                        return step / 10**DIGITS
+            below += n
+        raise LookupError(rank)
+
+    facts: dict[str, float | None] = {}
+    for name in ("min_positive", "q25", "q50", "q75"):
+        facts[name] = None
+        if name in ranks:
+            low = int(ranks[name])
+            share = ranks[name] - low
+            first = value_at(low)
+            facts[name] = first + (value_at(low + 1) - first) * share if share else first
+    row = (
+        size, sum(t for _, _, t in buckets) / 10**DIGITS / cells if cells else None,
+        max(s for s, _ in inside[buckets[-1][0]]) / 10**DIGITS if cells else None,
+        facts["min_positive"], facts["q25"], facts["q50"], facts["q75"],
+        above(300) / size if size else None, above(500) / 2 / (size * (size - 1) / 2) * 100 if size > 1 else None,
     )
+    return vectors.sparkSession.createDataFrame([row], (
+        "n_entities bigint, mean_similarity double, max_similarity double, min_positive double, q25 double, q50 double, q75 double, "
+        "mean_above_03 double, strong_pair_pct double"))
 
 
 def param_impact(vectors: DataFrame, settings: Settings) -> DataFrame:

@@ -58,7 +58,7 @@ def train(
         weights = class_weights(fit_on, "label").select("label", F.col("weight").alias("class_weight"))
         fit_on, weight = fit_on.join(F.broadcast(weights), "label"), "class_weight"  # one row per class
     fit_on, check_on = fit_on.persist(), data.where(F.col(split) == "valid").persist()
-    fitted, frames, failed = {}, [], {}
+    fitted, rows, failed = {}, [], {}
     for name in models or builders:
         try:
             estimator = builders[name](seed).setLabelCol("label").setFeaturesCol("features")
@@ -71,15 +71,20 @@ def train(
             else:
                 confusion = classification_metrics(scored, "label", "predicted_class")
                 found = confusion.withColumn("auc", auc(scored, "label", "predicted_probability").scalar())
-            frames.append(found.select(F.lit(name).alias("model"), "*"))
+            rows.append({"model": name, **found.first().asDict()})
             fitted[name] = model
         except Exception as problem:  # noqa: BLE001 - one model must not stop the others
             failed[name] = str(problem).splitlines()[0]
     if not fitted:
+        fit_on.unpersist()
+        check_on.unpersist()
         raise RuntimeError(f"no model could be trained: {failed}")
-    metrics = frames[0]
-    for f in frames[1:]:
-        metrics = metrics.unionByName(f)
+    fit_on.unpersist()
+    check_on.unpersist()
+    # One row per model.
+    names = ["n", "r2", "mse", "mae", "rmsle"] if kind == "regression" else ["tp", "fp", "fn", "tn", "precision", "recall", "f1", "auc"]
+    schema = "model string, " + ", ".join(f"{m} {'bigint' if m in ('n', 'tp', 'fp', 'fn', 'tn') else 'double'}" for m in names)
+    metrics = df.sparkSession.createDataFrame([(r["model"], *[r[m] for m in names]) for r in rows], schema)
     return Trained(fitted, metrics, list(features), failed)
 
 

@@ -50,15 +50,20 @@ def test_top_n_without_threshold_and_text_ids(spark):
 
 
 @pytest.mark.parametrize("block", [11, 1000])
-def test_pairs_histogram_counts(data, block):
+def test_pairs_buckets_counts(data, block):
     x, vectors = data
     sims = sims_of(x)
     n = len(x)
     pairs = {(r["id_a"], r["id_b"]): r["similarity"] for r in pairwise.cosine_pairs(vectors, 0.5, block).collect()}
     assert pairs == {(i, j): sims[i, j] for i in range(n) for j in range(i + 1, n) if sims[i, j] >= 0.5}
-    hist = {round(r["similarity"], 6): r["n"] for r in pairwise.cosine_histogram(vectors, block).collect()}
-    values, counts = np.unique(np.round(sims, 6) + 0.0, return_counts=True)
-    assert hist == dict(zip(values.tolist(), counts.tolist()))
+    packed = pairwise.pack_blocks(vectors, block)
+    steps = np.rint(sims * 1e6).astype(int)
+    buckets = np.ceil(steps / 1000).astype(int)
+    got = {r["bucket"]: (r["n"], r["total"]) for r in pairwise.cosine_buckets(vectors, packed).collect()}
+    assert got == {k: ((buckets == k).sum(), steps[buckets == k].sum()) for k in np.unique(buckets).tolist()}
+    some = [1000, int(buckets.min())]
+    values, counts = np.unique(steps[np.isin(buckets, some)], return_counts=True)
+    assert {r["step"]: r["n"] for r in pairwise.cosine_values(vectors, some, packed).collect()} == dict(zip(values.tolist(), counts.tolist()))
     counts = {r["id"]: r["n"] for r in pairwise.cosine_counts(vectors, 0.5, block).collect()}
     assert counts == {i: int((sims[i] >= 0.5).sum()) for i in range(n)}
 
