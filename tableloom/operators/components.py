@@ -16,11 +16,12 @@ def _flatten(parent: DataFrame) -> DataFrame:
         far = parent.withColumn("__old", F.col("label"))
         for _ in range(JUMPS):
             # A root points to itself, so every label is a node. Hot labels are split by the skew join.
-            far = far.join(up, F.col("label") == F.col("__n")).select("node", F.col("__up").alias("label"), "__old")
-        parent = cut_lineage(far.select("node", "label", (F.col("label") < F.col("__old")).alias("moved")))
-        if parent.where("moved").isEmpty():
-            return parent.select("node", "label")
-        parent = parent.select("node", "label")
+            far = far.join(up, F.col("label") == F.col("__n")).select("node", F.col("__up").alias("label"), F.col("label").alias("__old"))
+        # Where the last jump went nowhere, the pointer had reached its root.
+        moved = cut_lineage(far.select("node", "label", (F.col("label") < F.col("__old")).alias("moved")))
+        parent = moved.select("node", "label")
+        if moved.where("moved").isEmpty():
+            return parent
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = graph.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
             graph.select(F.col("b").alias("node"), F.col("a").alias("other")))
         hooked = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label"))
-        roots = _flatten(cut_lineage(hooked))
+        roots = _flatten(hooked)
         rounds.append(roots)
         la = roots.select(F.col("node").alias("a"), F.col("label").alias("la"))
         lb = roots.select(F.col("node").alias("b"), F.col("label").alias("lb"))
