@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableloom.llm import simhash
+from tableloom.llm import bitslices, packing, shards, simhash
 from tableloom.llm.common import QUERIES, SQL, query, table
 
 
@@ -15,5 +15,33 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_nnls_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2048 ids."""
+    found = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(found.drop("ids"))
+
+
+@query("op7_prefix_shards")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 contiguous shards of equal bytes."""
+    found = shards.assign_shards(table(spark, sf_dir, "documents"), 24)
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_bitslice_search")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every vector whose id is divisible by 20, against all others."""
+    found = bitslices.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def load_queries() -> tuple[dict, dict]:
     return dict(QUERIES), dict(SQL)
