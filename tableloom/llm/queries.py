@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableloom.llm import bitslices, packing, shards, simhash
+from tableloom.llm import bitslices, decontaminate, packing, shards, simhash, warc
 from tableloom.llm.common import QUERIES, SQL, query, table
 
 
@@ -28,7 +28,61 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(found.drop("ids"))
 
 
-@query("op7_prefix_shards")
+OP4_SQL = r"""
+with fold(a, b) as (values ('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')),
+d as (select doc_id, coalesce(regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents, fold),
+i as (select item_id, regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark, fold),
+g as (select distinct item_id, least(10, len(w)) n, array_to_string(w[pos:pos + least(10, len(w)) - 1], ' ') gram
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) pos from i where len(w) > 0)),
+p as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) pos from d, (select distinct n from g)),
+m as (select doc_id, item_id, pos, p.n from p join g on g.n = p.n and g.gram = array_to_string(w[pos:pos + p.n - 1], ' ')),
+h as (select doc_id, count(distinct k) n_hit from (select doc_id, unnest(range(pos, pos + n)) k from m) group by doc_id),
+o as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id::varchar item_id from m) group by doc_id)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join h using (doc_id) left join o using (doc_id)"""
+
+
+@query("op4_contamination", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in ten consecutive words of a benchmark item."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        decontaminate.items_digest(F.col("item_ids")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') html from pages),
+r as (select page_id, octet_length(encode(html)) payload_bytes, max(page_id) over (partition by html) first_id, sha1(html) hex from p),
+b as (select page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (k // 4)::int + 1, 5))::bigint >> (15 - 5 * (k % 4))::int) & 31)::int + 1, 1), '' order by k) digest
+  from r, range(32) t(k) group by page_id)
+select page_id, payload_bytes::bigint payload_bytes, digest payload_digest, case when page_id = first_id then 'response' else 'revisit' end record_type,
+  case when page_id <> first_id then first_id end refers_to from r join b using (page_id)"""
+
+
+@query("op6_warc_archives", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to archives and read back from them."""
+    path = warc.archive_path(spark)
+    index = warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(spark, path, index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# The bytes of a text, one nibble after the other, through the CRC's table of sixteen.
+OP7_SQL = """
+with d as (select doc_id, octet_length(encode(coalesce(text, ''))) + 8 size, md5(text) k, coalesce(text, '') t from documents),
+c as (select doc_id, size, k, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, [('0x' || x)::bigint for x in regexp_extract_all(hex(encode(t)), '..')]),
+  lambda c, b: xor(xor(xor(c, b) >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888,
+    3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(c, b) & 15) + 1]) >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444,
+    1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(xor(c, b) >> 4,
+    [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920,
+    2262029012, 2685067896, 3183342108][(xor(c, b) & 15) + 1]) & 15) + 1]))) crc from d),
+s as (select doc_id, size, crc, k, sum(size) over (order by k nulls first, doc_id) upto, sum(size) over () total, row_number() over (order by k nulls first, doc_id) nth from c),
+p as (select *, least(23, ((2 * upto - size) * 24) // (2 * total))::int shard from s)
+select doc_id, size::bigint size, crc text_crc32, 'bytes' law, shard, (nth - min(nth) over (partition by shard))::bigint slot, null::int grown_shard from p"""
+
+
+@query("op7_prefix_shards", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 contiguous shards of equal bytes."""
     found = shards.assign_shards(table(spark, sf_dir, "documents"), 24)
@@ -36,7 +90,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op9_bitslice_search")
+OP9_SQL = """
+with v as (select vec_id, [floor(64 * x::double) for x in embedding] v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int rank, vec_id, score from s
+qualify rank <= 20"""
+
+
+@query("op9_bitslice_search", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer inner products of every vector whose id is divisible by 20, against all others."""
     found = bitslices.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
