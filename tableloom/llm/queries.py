@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableloom.llm import bitslices, decontaminate, packing, shards, simhash, warc
+from tableloom.llm import bitslices, decontaminate, packing, secrets, shards, simhash, warc
 from tableloom.llm.common import QUERIES, SQL, query, table
 
 
@@ -90,6 +90,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op8_guess_secrets")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the fixed shapes, and all spans."""
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = secrets.spans_text(F.filter("spans", lambda s: s["kind"] != "guess"))
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"))
+
+
 OP9_SQL = """
 with v as (select vec_id, [floor(64 * x::double) for x in embedding] v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
