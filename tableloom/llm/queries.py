@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableloom.llm import bitslices, decontaminate, packing, secrets, shards, simhash, warc
+from tableloom.llm import bitslices, decontaminate, language, packing, secrets, shards, simhash, warc
 from tableloom.llm.common import QUERIES, SQL, query, table
 
 
@@ -116,5 +116,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+@query("op10_crf_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(language.held_out(F.col("doc_id"), 4, 2), F.lit(False))
+    found = language.predict(docs, language.fit(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def load_queries() -> tuple[dict, dict]:
     return dict(QUERIES), dict(SQL)
