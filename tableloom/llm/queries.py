@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableloom.llm import bitslices, decontaminate, language, packing, secrets, shards, simhash, warc
+from tableloom.llm import bitslices, decontaminate, language, mixing, packing, secrets, shards, simhash, warc
 from tableloom.llm.common import QUERIES, SQL, query, table
 
 
@@ -15,6 +15,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op2_context_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under context mixing and under single words, learned outside the held-out fold."""
+    return mixing.score(table(spark, sf_dir, "documents"), language.held_out(F.col("doc_id"), 7, 2), kind_col="lang")
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
