@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableloom.llm import bitslices, decontaminate, language, mixing, packing, secrets, shards, simhash, warc
+from tableloom.llm import bitslices, decontaminate, language, lines, mixing, packing, secrets, shards, simhash, warc
 from tableloom.llm.common import QUERIES, SQL, query, table
 
 
@@ -57,6 +57,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.items_digest(F.col("item_ids")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op5_fuzzy_lines")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat, alike or nearly so, an earlier one."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP6_SQL = """
 with p as (select page_id, coalesce(html, '') html from pages),
 r as (select page_id, octet_length(encode(html)) payload_bytes, max(page_id) over (partition by html) first_id, sha1(html) hex from p),
