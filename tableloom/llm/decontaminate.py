@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tableloom.llm.common import col
 from tableloom.session import cut_lineage
@@ -25,7 +25,11 @@ PART_BYTES = 32 << 20
 # A-Z to lower case; every other byte below 0x80 that is neither a digit nor a letter to a blank. Bytes of other characters stay.
 _FOLD = bytes((b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20) for b in range(256))
 
-RESULT = "doc_id {id}, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
+def _result(id_type: T.DataType) -> T.StructType:
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    return T.StructType([
+        T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+        T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(span))])
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -92,7 +96,7 @@ def places(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(chars(bounds[a][0]), chars(bounds[b - 1][1])) for a, b in runs]
 
 
-def _scan_part(rows: DataFrame, items: list[tuple[str, bytes | None]], window: int, id_type: str) -> DataFrame:
+def _scan_part(rows: DataFrame, items: list[tuple[str, bytes | None]], window: int, id_type: T.DataType) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build(items, window)
         for part in parts:
@@ -108,7 +112,7 @@ def _scan_part(rows: DataFrame, items: list[tuple[str, bytes | None]], window: i
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ], ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
 
-    return rows.mapInArrow(run, RESULT.format(id=id_type))
+    return rows.mapInArrow(run, _result(id_type))
 
 
 def contamination(
@@ -123,7 +127,7 @@ def contamination(
     are not looked at. A benchmark above `part_bytes` is scanned in parts, whose hits are merged per document.
     """
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("binary").alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    id_type = rows.schema["doc_id"].dataType
     items = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item"), col(item_text_col).cast("binary").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     if total <= part_bytes:
@@ -135,7 +139,7 @@ def contamination(
     merged = None
     for p in range(parts):
         listed = [tuple(r) for r in items.where(F.col("part") == p).select("item", "text").collect()]
-        found = _scan_part(rows.select(F.struct("uid", "doc_id").alias("doc_id"), "text"), listed, window, f"struct<uid:bigint,doc_id:{id_type}>")
+        found = _scan_part(rows.select(F.struct("uid", "doc_id").alias("doc_id"), "text"), listed, window, T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type)]))
         merged = found if merged is None else merged.unionByName(found)
     merged = merged.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
@@ -143,7 +147,7 @@ def contamination(
     return _recount(rows.select(F.struct("uid", "doc_id").alias("doc_id"), "text").join(merged, "doc_id"), id_type)
 
 
-def _recount(found: DataFrame, id_type: str) -> DataFrame:
+def _recount(found: DataFrame, id_type: T.DataType) -> DataFrame:
     """Merge the spans of several parts and count the words in them."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -164,7 +168,7 @@ def _recount(found: DataFrame, id_type: str) -> DataFrame:
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ], ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
 
-    return found.mapInArrow(run, RESULT.format(id=id_type))
+    return found.mapInArrow(run, _result(id_type))
 
 
 def items_digest(item_ids):

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from tableloom.llm.common import col
@@ -267,7 +267,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows stay repeated; other columns are not looked at. An empty table gives none.
     """
     rows = df.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     held = rows.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.change, model.start))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +279,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(id_column: Column, folds: int, fold: int) -> Column:

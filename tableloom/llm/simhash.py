@@ -13,13 +13,15 @@ size of the group, and no pairs within a group are listed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tableloom.llm import crowds
 from tableloom.llm.common import col
 from tableloom.operators.components import connected_components
 from tableloom.session import cut_lineage
@@ -30,19 +32,20 @@ SEED = 42
 SLICE = 1 << 15
 
 
-def fingerprint(text: bytes | None, shingle: int, seed: int = SEED) -> int:
-    """The fingerprint of one text: bit i is set if more than half of the shingle hashes have it."""
-    import xxhash
-
+def shingles_of(text: bytes | None, shingle: int) -> list[bytes]:
+    """Runs of `shingle` words, repeats included; all words, if they are fewer; none of a blank text."""
     # On bytes, lower() touches A-Z alone and split() takes the six ASCII blanks.
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-        hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64, len(words) - shingle + 1)
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+
+
+def fingerprint(shingles: list[bytes], seed: int = SEED) -> int:
+    """Bit i is set if more than half of the shingle hashes have it."""
+    import xxhash
+
+    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64, len(shingles))
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), SLICE):
         part = hashes[at:at + SLICE].view(np.uint8).reshape(-1, 8)
@@ -50,17 +53,18 @@ def fingerprint(text: bytes | None, shingle: int, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp bigint) per row. Null and blank texts have fingerprint 0; texts of up to `shingle` words have one shingle."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(id, fp bigint) per row, with fp2 and so on for more seeds. Null and blank texts have fingerprint 0; texts of up to `shingle` words have one shingle."""
     out = df.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
-    id_type = out.schema["id"].dataType.simpleString()
+    names = [f"fp{i + 1 if i else ''}" for i in range(len(seeds))]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            cut = [shingles_of(t, shingle) for t in part.column(1).to_pylist()]
+            found = [np.array([fingerprint(c, seed) for c in cut], np.uint64).view(np.int64) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found)], ["id", *names])
 
-    return out.mapInArrow(run, f"id {id_type}, fp bigint")
+    return out.mapInArrow(run, T.StructType([out.schema["id"], *[T.StructField(n, T.LongType()) for n in names]]))
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -116,5 +120,31 @@ def near_duplicates(
     return prints.join(rooted.select("fp", "root"), "fp").join(least, "root").select("id", "fp", "component_id")
 
 
+def similar_documents(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (SEED, SEED + 1),
+) -> DataFrame:
+    """(id, component_id) as `near_duplicates`, for texts whose shingle sets have about this Jaccard similarity.
+
+    Fingerprints have 64 bits per seed and are cut into segments of 32, each with one wildcard. Two that share a variant
+    are linked if the share of bits that differ is at most that expected at the similarity: the angle between sets of
+    Jaccard similarity s has the cosine 2s / (1 + s). Pairs that differ in up to two bits per segment less one always
+    meet; the others meet as often as one of their segments differs by no more than one bit.
+    """
+    names = [f"fp{i + 1 if i else ''}" for i in range(len(seeds))]
+    most = int(BITS * len(seeds) * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    prints = cut_lineage(fingerprints(df, id_col, text_col, shingle, seeds))
+    nodes = cut_lineage(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    keys = " , ".join(
+        f"(shiftleft({64 * i + 32 * half}L + at, 32) | ((shiftrightunsigned({name}, {32 * half}) & 4294967295L) & ~shiftleft(1L, at)))"
+        for i, name in enumerate(names) for half in range(2))
+    met = nodes.select("node", *names, F.explode(F.sequence(F.lit(0), F.lit(31))).alias("at"))
+    met = crowds.meetings(met.select("node", *names, F.explode(F.expr(f"array({keys})")).alias("key")))
+    close = lambda one, other: sum((F.bit_count(one(n).bitwiseXOR(other(n))) for n in names), F.lit(0)) <= most
+    rooted = nodes.join(crowds.groups(met, names, close), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut_lineage(rooted.select(*names, "root", "least"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.drop("least"), names).join(least, "root").select("id", "component_id")
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
