@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import isfinite
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
@@ -110,10 +111,13 @@ def _narrowed_quantiles(values: DataFrame, keys, hot: list, probs) -> list[list[
         tagged = values.join(F.broadcast(groups), on).select("__g", "__v")
     else:
         tagged = values.select(F.lit(0).alias("__g"), "__v")
+    # Infinite values and NaN, which sorts last, are counted; the search is among the others.
+    finite = ~F.isnan("__v") & (F.abs("__v") != float("inf"))
     ranges = {
         r["__g"]: r
         for r in tagged.groupBy("__g").agg(
-            F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")
+            F.count(F.lit(1)).alias("n"), F.min(F.when(finite, F.col("__v"))).alias("lo"), F.max(F.when(finite, F.col("__v"))).alias("hi"),
+            F.count_if(F.col("__v") == float("-inf")).alias("below"), F.count_if(F.col("__v") == float("inf")).alias("above"), F.count_if(F.isnan("__v")).alias("odd"),
         ).collect()
     }
     answers: dict[tuple[int, int], tuple[float, float]] = {}
@@ -121,12 +125,23 @@ def _narrowed_quantiles(values: DataFrame, keys, hot: list, probs) -> list[list[
     for g, row in ranges.items():
         for j, p in enumerate(probs):
             pos = p * (row["n"] - 1)
-            searches[g, j] = dict(lo=row["lo"], hi=row["hi"], below=0, k=int(pos), pos=pos, n=row["n"])
+            # `after` is what follows the last finite value.
+            after = {"after": float("inf") if row["above"] else float("nan")} if row["above"] + row["odd"] else {}
+            searches[g, j] = dict(lo=row["lo"], hi=row["hi"], below=row["below"], k=int(pos), pos=pos, n=row["n"], last=row["n"] - row["above"] - row["odd"] - 1, **after)
     open_ = dict(searches)
+    for (g, j), s in searches.items():
+        row = ranges[g]
+        ends = [(row["below"], float("-inf")), (row["n"] - row["above"] - row["odd"], None), (row["n"] - row["odd"], float("inf")), (row["n"], float("nan"))]
+        at = lambda k: next(v for to, v in ends if k < to)  # noqa: B023, E731
+        if at(s["k"]) is not None:
+            high = at(min(s["k"] + 1, s["n"] - 1))
+            answers[g, j] = (at(s["k"]), row["lo"] if high is None else high)
+            del open_[g, j]
     while open_:
         for key, s in list(open_.items()):
             if s["lo"] == s["hi"]:
-                answers[key] = (s["lo"], s["lo"])
+                # The last of these equal values may be followed by something else.
+                answers[key] = (s["lo"], s["after"] if "after" in s and s["k"] == s["last"] else s["lo"])
                 del open_[key]
         if not open_:
             break
@@ -165,7 +180,9 @@ def _narrowed_quantiles(values: DataFrame, keys, hot: list, probs) -> list[list[
         for j, _ in enumerate(probs):
             low, high = answers[g, j]
             frac = searches[g, j]["pos"] - searches[g, j]["k"]
-            row.append(float(low + (high - low) * frac) if frac > 0 else float(low))
+            if frac > 0 and low != high:
+                low = low + (high - low) * frac if isfinite(low) and isfinite(high) else (1 - frac) * low + frac * high
+            row.append(float(low))
         result.append(row)
     return result
 
@@ -175,17 +192,19 @@ def global_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of whole columns. One small list per column reaches the driver."""
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    counts = dict(zip(cols, df.agg(*[F.count(F.col(f"`{c}`")) for c in cols]).first())) if cols else {}
     small = [c for c in cols if counts[c] <= hot_rows]
     result: dict[str, list[float | None]] = {}
     if small:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(c) for c in small]).first()
-        result.update({c: row[c] or [None] * len(probs) for c in small})
-    for c in cols:
-        if c not in result:
-            values = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("__v"))
-            result[c] = _narrowed_quantiles(values, [], [()], probs)[0]
+        row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), wanted) for c in small]).first()
+        result.update({c: found or [None] * len(probs) for c, found in zip(small, row)})
+    large = [c for c in cols if c not in result]
+    if large:
+        # One search for all columns, so that a round is one scan.
+        cells = [F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(large)]
+        values = df.select(F.explode(F.array(*cells)).alias("x")).select(F.col("x.c").alias("__c"), F.col("x.v").alias("__v")).where("__v is not null")
+        result.update(zip(large, _narrowed_quantiles(values, ["__c"], [(i,) for i in range(len(large))], probs)))
     return result
 
 

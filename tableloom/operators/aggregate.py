@@ -171,8 +171,8 @@ def series_by_date(df: DataFrame, date: str, target: str, by: Sequence[str] = ()
 
 
 def cluster_stats(df: DataFrame, label: str, columns: Sequence[str] | None = None, max_numeric: int = 5) -> DataFrame:
-    """Size, share and mean / sample std of the first numeric columns per cluster."""
-    cols = list(columns or [c for c in numeric_columns(df) if c != label])[:max_numeric]
+    """Size, share and mean / sample std per cluster, of the named columns or of the first numeric ones."""
+    cols = list(columns) if columns else [c for c in numeric_columns(df) if c != label][:max_numeric]
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std")]

@@ -9,20 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tableloom.functions.scalars import nullify_tokens
-from tableloom.functions.stats import global_modes, global_quantiles, unpivot_text
-from tableloom.operators.profile import _one_row_to_long, numeric_columns, profile
-
-# A one-hot column per value is only sensible for few values; beyond this use frequency encoding.
-MAX_ONE_HOT = 200
+from tableloom.functions.stats import global_modes, global_quantiles, group_modes, unpivot_text
+from tableloom.operators.profile import _one_row_to_long, correlation, numeric_columns, profile
 
 
 def fill_values(df: DataFrame, numeric: str = "median", other: str = "mode", columns: Sequence[str] | None = None) -> dict[str, object]:
-    """The fill value of each column that has nulls. Fit on the training part, apply anywhere."""
+    """The fill value of each column, gaps or not, null where it holds nothing. Fit on the training part, apply anywhere."""
     columns = list(columns or df.columns)
-    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    gaps = [c for c in columns if holes[c]]
-    numbers = [c for c in gaps if c in set(numeric_columns(df))]
-    texts = [c for c in gaps if c not in numbers]
+    numbers = [c for c in columns if c in set(numeric_columns(df))]
+    texts = [c for c in columns if c not in numbers]
     if other != "mode":
         raise ValueError("other columns are filled with their mode")
     fills: dict[str, object] = {}
@@ -43,21 +38,26 @@ def impute(
     fills: dict[str, object] | None = None,
 ) -> DataFrame:
     """Fill nulls: numbers with the exact median or mean, everything else with the mode."""
-    fills = fill_values(df, numeric, other, columns) if fills is None else fills
+    if fills is None:
+        # Filled from itself, a column without gaps needs no value.
+        columns = list(columns or df.columns)
+        holes = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(str(i)) for i, c in enumerate(columns)]).first()
+        gaps = [c for i, c in enumerate(columns) if holes[i]]
+        fills = fill_values(df, numeric, other, gaps) if gaps else {}
     changes = {}
     for c, v in fills.items():
+        if v is None:
+            continue
         kind = "double" if isinstance(v, float) else df.schema[c].dataType
         changes[c] = F.coalesce(F.col(c).cast(kind), F.lit(v).cast(kind))
     return df.withColumns(changes) if changes else df
 
 
-def categories(df: DataFrame, cols: Sequence[str], limit: int = MAX_ONE_HOT) -> dict[str, list[str]]:
-    """Sorted distinct values of each column; refuses columns with more than `limit` values."""
+def categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted distinct values of each column, each of which becomes a column: meant for categories, not for ids."""
     found = {}
     for c in cols:
-        rows = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct().limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"{c} has more than {limit} values: use frequency encoding")
+        rows = df.where(F.col(f"`{c}`").isNotNull()).select(F.col(f"`{c}`").cast("string").alias("v")).distinct().collect()
         found[c] = sorted(r["v"] for r in rows)
     return found
 
@@ -193,34 +193,46 @@ def encode_by_cardinality(df: DataFrame, cols: Sequence[str], max_one_hot: int =
 
 def leakage_scan(
     df: DataFrame, target: str, severe: float = 0.95, review: float = 0.80, exclude: Sequence[str] = (),
-    max_distinct_share: float = 0.5,
 ) -> DataFrame:
     """Features that give the target away: |correlation|, share of exact copies, eta squared for categories.
 
-    Categories with more than `max_distinct_share` distinct values per row say nothing and score 0.
+    Flags and dates count as numbers. Eta squared is corrected for the number of categories, so that values that are
+    all different say nothing by themselves; a text copies the target where it reads as the same text or number.
     Thresholds are parameters of this engine.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    for c, kind in kinds.items():
+        if kind == "boolean":
+            df = df.withColumn(c, F.col(f"`{c}`").cast("int"))
+        elif kind in ("date", "timestamp", "timestamp_ntz"):
+            df = df.withColumn(c, F.unix_date(F.col(f"`{c}`").cast("date")).cast("double") if kind == "date" else F.unix_micros(F.col(f"`{c}`").cast("timestamp")).cast("double"))
     numbers = [c for c in numeric_columns(df) if c != target and c not in exclude]
-    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name != target and f.name not in exclude]
+    texts = [c for c, kind in kinds.items() if kind == "string" and c != target and c not in exclude]
     y = F.col(target).cast("double")
     frames = []
     if numbers:
         frames.append(_one_row_to_long(df, {c: {
-            "association": F.abs(F.corr(F.col(c).cast("double"), y)),
-            "copy_rate": F.try_divide(F.count_if(F.col(c).cast("double") == y).cast("double"), F.count(F.lit(1)).cast("double")),
+            "association": F.abs(correlation(F.col(f"`{c}`"), F.col(f"`{target}`"))),
+            "copy_rate": F.try_divide(F.count_if(F.col(f"`{c}`").cast("double") == y).cast("double"), F.count(F.lit(1)).cast("double")),
         } for c in numbers}))
     if texts:
-        cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in texts]
+        cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("value")) for c in texts]
+        said = F.col(f"`{target}`").cast("string")
+        same = F.coalesce((F.col("x.value") == F.col("said")) | (F.col("x.value").try_cast("double") == F.col("y")), F.lit(False))
         groups = (
-            df.where(y.isNotNull()).select(F.explode(F.array(*cells)).alias("x"), y.alias("y"))
+            df.where(y.isNotNull()).select(F.explode(F.array(*cells)).alias("x"), y.alias("y"), said.alias("said"))
             .where(F.col("x.value").isNotNull()).groupBy("x.column_name", "x.value")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"), F.count_if(same).alias("copies"))
         )
         total = lambda c: F.sum(c)
         between = total(F.col("s") * F.col("s") / F.col("n")) - total("s") * total("s") / total("n")
         overall = total("q") - total("s") * total("s") / total("n")
-        eta = F.when(F.count(F.lit(1)) <= max_distinct_share * total("n"), F.try_divide(between, overall)).otherwise(0.0)
-        frames.append(groups.groupBy("column_name").agg(eta.alias("association"), F.lit(0.0).alias("copy_rate")))
+        n, k = total("n").cast("double"), F.count(F.lit(1)).cast("double")
+        # With as many categories as rows there is nothing left to tell.
+        eta = F.greatest(F.lit(0.0), 1 - (1 - F.try_divide(between, overall)) * F.try_divide(n - 1, n - k))
+        found = groups.groupBy("column_name").agg(eta.alias("association"), F.sum("copies").alias("copies"))
+        rows = df.agg(F.count(F.lit(1))).scalar()
+        frames.append(found.select("column_name", F.coalesce("association", F.lit(0.0)).alias("association"), F.try_divide(F.col("copies").cast("double"), rows.cast("double")).alias("copy_rate")))
     found = reduce(DataFrame.unionByName, frames)
     strength = F.greatest(F.coalesce("association", F.lit(0.0)), F.coalesce("copy_rate", F.lit(0.0)))
     verdict = F.when(strength >= severe, "severe").when(strength >= review, "review").otherwise("ok")
@@ -273,8 +285,10 @@ def clean_table(df: DataFrame, rules: dict[str, dict[str, object]]) -> DataFrame
         if cols:
             fills |= fill_values(out, how, "mode", cols)
     modes = [c for c, r in rules.items() if r.get("missing") == "mode"]
-    if modes:
-        fills |= {r["column_name"]: r["mode"] for r in global_modes(out, modes).collect()}
+    # Values are ranked as what they are, so that of equally frequent numbers the smaller one is taken.
+    for c in modes:
+        first = group_modes(out.select(F.col(f"`{c}`").alias("v")), [], "v", "mode").first()
+        fills[c] = first["mode"] if first else None
     return impute(out, fills=fills) if fills else out
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.window import Window
 
 from tableloom.functions.scalars import month_index, to_number
 
@@ -56,9 +56,13 @@ def monthly_series(df: DataFrame, date: str, value: Column | str, by: Sequence[s
 
 
 def lag_features(series: DataFrame, y: str, lags: Sequence[int], by: Sequence[str] = (), order: str = "t") -> DataFrame:
-    """Earlier values of each series; a series is one row per month, so its window stays small."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)
-    return series.withColumns({f"{y}_lag{k}": F.lag(y, k).over(w) for k in lags})
+    """The value of each series `k` months earlier by the calendar; null where that month is missing."""
+    out = series
+    for k in lags:
+        earlier = series.select(*[F.col(b).alias(f"__{b}") for b in by], (F.col(order) + k).alias("__t"), F.col(y).alias(f"{y}_lag{k}"))
+        match = reduce(lambda a, b: a & b, [out[b].eqNullSafe(earlier[f"__{b}"]) for b in by], out[order] == earlier["__t"])
+        out = out.join(earlier, match, "left").drop("__t", *[f"__{b}" for b in by])
+    return out
 
 
 def forecast_trend_season(series: DataFrame, y: str, by: Sequence[str] = (), periods: object = None) -> DataFrame:
@@ -94,25 +98,33 @@ def forecast_ar(
 ) -> DataFrame:
     """Least squares on earlier values and outside inputs per series, carried forward month by month.
 
-    Inputs are held at their last value. Each series is one row per month, so a group is small.
-    Series shorter than the longest lag repeat their mean.
+    Inputs are held at their last value. Each series is one row per month, so a group is small. Lags go by the calendar:
+    months that are missing teach nothing and stand for the line between their neighbours where a forecast needs them.
+    Series with too few months to learn from repeat their mean.
     """
     steps, longest = horizon(periods), max(lags)
     by, exog = list(by), list(exog)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        values = pdf[y].to_numpy(dtype=float)
-        inputs = pdf[exog].to_numpy(dtype=float) if exog else np.zeros((len(pdf), 0))
-        rows = range(longest, len(values))
-        held, history = inputs[-1] if len(inputs) else np.zeros(0), list(values)
+        seen = pdf[y].to_numpy(dtype=float)
+        months = pdf["t"].to_numpy()
+        place = (months - months[0]).astype(int)
+        values = np.full(place[-1] + 1, np.nan)
+        values[place] = seen
+        inputs = np.full((len(values), len(exog)), np.nan)
+        inputs[place] = pdf[exog].to_numpy(dtype=float) if exog else np.zeros((len(pdf), 0))
+        known = np.isfinite(values)
+        history = list(np.interp(np.arange(len(values)), np.flatnonzero(known), values[known])) if known.any() else [np.nan] * len(values)
+        rows = [i for i in range(longest, len(values)) if known[i] and all(known[i - k] for k in lags) and np.isfinite(inputs[i]).all()]
+        held = inputs[-1]
         coef = None
-        if len(values) > longest + len(lags) + len(exog):
+        if len(rows) > len(lags) + len(exog):
             design = np.array([[1.0, *[values[i - k] for k in lags], *inputs[i]] for i in rows])
-            coef = np.linalg.lstsq(design, values[longest:], rcond=None)[0]
+            coef = np.linalg.lstsq(design, values[rows], rcond=None)[0]
         out = []
         for _ in range(steps):
-            nxt = values.mean() if coef is None else float(np.dot(coef, [1.0, *[history[-k] for k in lags], *held]))
+            nxt = float(np.nanmean(values)) if coef is None else float(np.dot(coef, [1.0, *[history[-k] for k in lags], *held]))
             history.append(nxt)
             out.append(nxt)
         result = pd.DataFrame({"step": range(1, steps + 1), "t": int(pdf["t"].iloc[-1]) + np.arange(1, steps + 1), "p": out})

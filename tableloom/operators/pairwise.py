@@ -17,8 +17,11 @@ from pyspark.sql.window import Window
 
 from tableloom.session import cut_lineage
 
-# Similarities are quoted to six digits. Ranking uses the quoted value, ties go to the smaller id.
-DIGITS = 6
+# Similarities are compared and ranked in full; only the noise of the last digits of a double is taken off, so that
+# equal directions are equal and go by the smaller id.
+DIGITS = 12
+# Statistics of the whole matrix count its cells by steps of the sixth digit.
+STEP_DIGITS = 6
 PAIR_BLOCK = 2048
 MAX_BLOCK = 32_768
 CHUNK_CELLS = 4_000_000
@@ -100,14 +103,25 @@ def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return quoted(x @ y.T)
 
 
-def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def squared_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if x.shape[1] <= 16:
         total = np.zeros((len(x), len(y)))
         for k in range(x.shape[1]):
             total += (x[:, k, None] - y[None, :, k]) ** 2
-    else:
-        total = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
-    return np.sqrt(total)
+        return total
+    size = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+    total = np.maximum(size - 2 * x @ y.T, 0)
+    # Where the difference of large numbers leaves few digits, the distance is worked out by components.
+    rows, cols = np.nonzero(total < 1e-6 * size)
+    step = max(1, CHUNK_CELLS // x.shape[1])
+    for at in range(0, len(rows), step):
+        r, c = rows[at:at + step], cols[at:at + step]
+        total[r, c] = ((x[r] - y[c]) ** 2).sum(1)
+    return total
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(squared_distance(x, y))
 
 
 def over_tiles(
@@ -202,8 +216,8 @@ def cosine_pairs(vectors: DataFrame, min_sim: float, block_rows: int | None = No
 def _steps(chunk: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Quoted similarities as whole steps of the last digit."""
     cells = chunk @ other.T
-    cells += 10.0 ** -(DIGITS + 3)
-    cells *= 10**DIGITS
+    cells += 10.0 ** -(STEP_DIGITS + 3)
+    cells *= 10**STEP_DIGITS
     return np.rint(cells, out=cells).astype(np.int32).ravel()
 
 
@@ -217,7 +231,7 @@ def _bucket(steps: np.ndarray) -> np.ndarray:
 
 def cosine_buckets(vectors: DataFrame, packed: Packed | None = None) -> DataFrame:
     """(bucket, n, total) over the full symmetric matrix, diagonal included: cells and sum of steps per bucket."""
-    edge = 10**DIGITS // BUCKET + 1
+    edge = 10**STEP_DIGITS // BUCKET + 1
 
     def kernel(tile: Tile) -> pd.DataFrame:
         n, total = np.zeros(2 * edge + 1, dtype=np.int64), np.zeros(2 * edge + 1, dtype=np.int64)
@@ -237,7 +251,7 @@ def cosine_buckets(vectors: DataFrame, packed: Packed | None = None) -> DataFram
 
 def cosine_values(vectors: DataFrame, buckets: list[int], packed: Packed | None = None) -> DataFrame:
     """(step, n) of the cells inside the named buckets; at most BUCKET rows each."""
-    edge = 10**DIGITS // BUCKET + 1
+    edge = 10**STEP_DIGITS // BUCKET + 1
     wanted = np.zeros(2 * edge + 1, dtype=bool)
     wanted[np.array(buckets, dtype=int) + edge] = True
 

@@ -123,10 +123,18 @@ def feature_stats(df: DataFrame, features: Sequence[str], top: int = 3) -> DataF
     )
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows where both are present; null where one of them is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+    return F.when(~flat, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns (a before b), each over the rows where both are present."""
     pairs = list(combinations(cols, 2))
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[correlation(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     rows = [
         F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"p{i}").alias("r"))
         for i, (a, b) in enumerate(pairs)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tableloom.functions.scalars import rounded
-from tableloom.operators.pairwise import BUCKET, DIGITS, cosine_buckets, cosine_counts, cosine_topn, cosine_values, pack_blocks
+from tableloom.operators.pairwise import BUCKET, STEP_DIGITS, cosine_buckets, cosine_counts, cosine_topn, cosine_values, pack_blocks
 from tableloom.operators.profile import interaction_density
 
 
@@ -82,7 +82,7 @@ def similarity_stats(vectors: DataFrame, block_rows: int | None = None) -> DataF
                 for step, k in sorted(inside[b]):
                     below += k
                     if rank < below:
-                        return step / 10**DIGITS
+                        return step / 10**STEP_DIGITS
             below += n
         raise LookupError(rank)
 
@@ -95,8 +95,8 @@ def similarity_stats(vectors: DataFrame, block_rows: int | None = None) -> DataF
             first = value_at(low)
             facts[name] = first + (value_at(low + 1) - first) * share if share else first
     row = (
-        size, sum(t for _, _, t in buckets) / 10**DIGITS / cells if cells else None,
-        max(s for s, _ in inside[buckets[-1][0]]) / 10**DIGITS if cells else None,
+        size, sum(t for _, _, t in buckets) / 10**STEP_DIGITS / cells if cells else None,
+        max(s for s, _ in inside[buckets[-1][0]]) / 10**STEP_DIGITS if cells else None,
         facts["min_positive"], facts["q25"], facts["q50"], facts["q75"],
         above(300) / size if size else None, above(500) / 2 / (size * (size - 1) / 2) * 100 if size > 1 else None,
     )
@@ -164,7 +164,7 @@ def recommend_user(neighbours: DataFrame, owned: DataFrame, top: int = 5) -> Dat
     marked = found.withColumn("own", F.lit(0)).unionByName(
         owned.select("user", "item", F.lit(None).cast("double").alias("similarity"), F.lit(1).alias("own")))
     fresh = marked.groupBy("user", "item").agg(F.avg("similarity").alias("mean"), F.max("own").alias("own")).where("own = 0").select(
-        "user", "item", F.least(rounded(F.col("mean"), 6), F.lit(1.0)).alias("confidence"))
+        "user", "item", F.least(rounded(F.col("mean"), 12), F.lit(1.0)).alias("confidence"))
     rank = F.row_number().over(Window.partitionBy("user").orderBy(F.col("confidence").desc(), "item"))
     return fresh.withColumn("rank", rank).where(F.col("rank") <= top).select("user", "rank", "item", "confidence")
 

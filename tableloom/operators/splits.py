@@ -19,7 +19,8 @@ def _by_month(df: DataFrame, date: str, valid_months: int, infer_months: int) ->
 
 
 def _by_bucket(key: str, ratios: Sequence[int]) -> Column:
-    bucket = hash_bucket(F.col(key), sum(ratios))
+    # Rows without a key share a bucket.
+    bucket = F.coalesce(hash_bucket(F.col(key), sum(ratios)), F.lit(0))
     label = F.when(bucket < ratios[0], "train").when(bucket < ratios[0] + ratios[1], "valid")
     return label.otherwise("infer")
 

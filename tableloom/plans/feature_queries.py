@@ -102,18 +102,20 @@ def encode_report(spark, sf):
 
 
 _LEAK_SQL = """src as (select l_extendedprice as target, l_extendedprice as copied, l_extendedprice * 1.1 + l_tax as derived, l_quantity, l_discount,
-    l_returnflag, case when l_extendedprice > 50000 then 'high' else 'low' end as band from lineitem)"""
+    l_extendedprice::varchar as spelled, (l_extendedprice > 40000)::int as flag, 1 as fixed, (l_shipdate::date - date '1970-01-01')::double as shipped, l_returnflag, case when l_extendedprice > 50000 then 'high' else 'low' end as band from lineitem)"""
 
 
 def _eta_sql(c: str) -> str:
-    return f"""select '{c}' as column_name, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n)) as association, 0.0::double as copy_rate
-        from (select {c}, count(*)::double as n, sum(target) as s, sum(target * target) as q from src group by 1)"""
+    return f"""select '{c}' as column_name, coalesce(greatest(0, 1 - (1 - (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n))) * (sum(n) - 1) / (sum(n) - count(*))), 0) as association,
+        sum(copies) / (select count(*) from src) as copy_rate
+        from (select {c}, count(*)::double as n, sum(target) as s, sum(target * target) as q, count(*) filter (try_cast({c} as double) = target) as copies from src group by 1)"""
 
 
 @query("leakage_scan", f"""
     with {_LEAK_SQL}, f as (""" + " union all ".join(
     [f"select '{c}' as column_name, abs(corr({c}, target)) as association, count(*) filter ({c} = target)::double / count(*) as copy_rate from src"
-     for c in ("copied", "derived", "l_quantity", "l_discount")] + [_eta_sql("l_returnflag"), _eta_sql("band")]) + f""")
+     for c in ("copied", "derived", "l_quantity", "l_discount", "flag", "shipped")]
+    + ["select 'fixed', null, count(*) filter (fixed = target)::double / count(*) from src", _eta_sql("l_returnflag"), _eta_sql("band"), _eta_sql("spelled")]) + f""")
     select column_name, {r('association', 6)} as association, {r('copy_rate', 6)} as copy_rate,
       case when greatest(association, copy_rate) >= 0.95 then 'severe' when greatest(association, copy_rate) >= 0.7 then 'review' else 'ok' end as verdict,
       case when copy_rate >= 0.7 then 'copies the target' when association >= 0.7 then 'tells the target almost exactly' else '' end as reason from f""")
@@ -121,6 +123,7 @@ def leakage_scan(spark, sf):
     price = F.col("l_extendedprice")
     rows = table(spark, sf, "lineitem").select(
         price.alias("target"), price.alias("copied"), (price * 1.1 + F.col("l_tax")).alias("derived"), "l_quantity", "l_discount", "l_returnflag",
+        price.cast("string").alias("spelled"), (price > 40000).alias("flag"), F.lit(1).alias("fixed"), F.col("l_shipdate").cast("date").alias("shipped"),
         F.when(price > 50000, "high").otherwise("low").alias("band"))
     return round_all(ops.leakage_scan(rows, "target", review=0.7), 6)
 

@@ -141,8 +141,8 @@ def monthly_series(spark, sf):
 
 
 @query("lag_features", f"""
-    with {_SERIES_SQL} select nation, month, revenue, lag(revenue, 1) over w as revenue_lag1, lag(revenue, 12) over w as revenue_lag12
-    from m window w as (partition by nation order by t)""")
+    with {_SERIES_SQL} select m.nation, m.month, m.revenue, a.revenue as revenue_lag1, b.revenue as revenue_lag12
+    from m left join m a on a.nation = m.nation and a.t = m.t - 1 left join m b on b.nation = m.nation and b.t = m.t - 12""")
 def lag_features(spark, sf):
     return forecast.lag_features(nation_series(spark, sf), "revenue", [1, 12], ["nation"]).drop("t")
 

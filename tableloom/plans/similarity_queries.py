@@ -27,13 +27,13 @@ ITEMS_SQL = f"""
     iv as (select id, v0, v1, v2, v3, v4 from lines where rk = 1)"""
 
 
-def _sims(src: str, n: int) -> str:
-    """All ordered pairs with their quoted similarity, the diagonal included."""
+def _sims(src: str, n: int, digits: int = 12) -> str:
+    """All ordered pairs with their similarity, the diagonal included; like the operators, without the noise of its last digits."""
     dot = " + ".join(f"a.v{i} * b.v{i}" for i in range(n))
     length = " + ".join(f"v{i} * v{i}" for i in range(n))
     return f"""
     unit as (select *, sqrt({length}) as len from {src}),
-    sims as (select a.id as id, b.id as other, case when a.len = 0 or b.len = 0 then 0.0::double else {r(f'({dot}) / (a.len * b.len)', 6)} end as similarity
+    sims as (select a.id as id, b.id as other, case when a.len = 0 or b.len = 0 then 0.0::double else {r(f'({dot}) / (a.len * b.len)', digits)} end as similarity
              from unit a join unit b on true)"""
 
 
@@ -85,25 +85,25 @@ def embedding_vectors(spark, sf) -> DataFrame:
 
 
 @query("cosine_pairs", f"""
-    select id_a, id_b, similarity from (
-      select a.vec_id as id_a, b.vec_id as id_b, {r('list_cosine_similarity(a.embedding::double[], b.embedding::double[])', 6)} as similarity
+    select id_a, id_b, {r('similarity', 6)} as similarity from (
+      select a.vec_id as id_a, b.vec_id as id_b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity
       from embeddings a join embeddings b on a.vec_id < b.vec_id) where similarity >= 0.3""")
 def cosine_pairs(spark, sf):
-    return pairwise.cosine_pairs(embedding_vectors(spark, sf), 0.3)
+    return round_all(pairwise.cosine_pairs(embedding_vectors(spark, sf), 0.3), 6, "similarity")
 
 
-@query("similar_users", f"with {USERS_SQL}, {_sims('uv', 6)}, {_TOP_SQL} select id, other, similarity, rank from top")
+@query("similar_users", f"with {USERS_SQL}, {_sims('uv', 6)}, {_TOP_SQL} select id, other, {r('similarity', 6)} as similarity, rank from top")
 def similar_users(spark, sf):
-    return recommend.similar_entities(user_vectors(spark, sf), BALANCED)
+    return round_all(recommend.similar_entities(user_vectors(spark, sf), BALANCED), 6, "similarity")
 
 
-@query("similar_items", f"with {ITEMS_SQL}, {_sims('iv', 5)}, {_TOP_SQL} select id, other, similarity, rank from top")
+@query("similar_items", f"with {ITEMS_SQL}, {_sims('iv', 5)}, {_TOP_SQL} select id, other, {r('similarity', 6)} as similarity, rank from top")
 def similar_items(spark, sf):
-    return recommend.similar_entities(item_vectors(spark, sf), BALANCED)
+    return round_all(recommend.similar_entities(item_vectors(spark, sf), BALANCED), 6, "similarity")
 
 
 @query("similarity_stats", f"""
-    with {USERS_SQL}, {_sims('uv', 6)}, n as (select count(*)::double as n from uv)
+    with {USERS_SQL}, {_sims('uv', 6, 6)}, n as (select count(*)::double as n from uv)
     select (select n from n)::bigint as n_entities, {r('avg(similarity)', 5)} as mean_similarity, max(similarity) as max_similarity,
       min(similarity) filter (similarity > 0) as min_positive, {r('quantile_cont(similarity, 0.25) filter (similarity > 0)', 5)} as q25,
       {r('quantile_cont(similarity, 0.5) filter (similarity > 0)', 5)} as q50, {r('quantile_cont(similarity, 0.75) filter (similarity > 0)', 5)} as q75,
@@ -141,7 +141,7 @@ def min_interactions(spark, sf):
 
 _RECS_SQL = f"""
     owned as (select distinct o_custkey as "user", l_partkey as item from orders join lineitem on o_orderkey = l_orderkey),
-    scored as (select t.id as "user", o.item, least({r('avg(t.similarity)', 6)}, 1.0::double) as confidence
+    scored as (select t.id as "user", o.item, least({r('avg(t.similarity)', 12)}, 1.0::double) as confidence
                from top t join owned o on o."user" = t.other group by 1, 2),
     recs as (select "user", item, confidence, row_number() over (partition by "user" order by confidence desc, item)::int as rank
              from scored s where not exists (select 1 from owned o where o."user" = s."user" and o.item = s.item) qualify rank <= 5)"""
@@ -155,14 +155,14 @@ def user_recs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return neighbours, owned, recommend.recommend_user(neighbours, owned)
 
 
-@query("recommend_user", f"{_USER_RECS_SQL} select \"user\", rank, item, confidence from recs")
+@query("recommend_user", f"{_USER_RECS_SQL} select \"user\", rank, item, {r('confidence', 6)} as confidence from recs")
 def recommend_user(spark, sf):
-    return user_recs(spark, sf)[2]
+    return round_all(user_recs(spark, sf)[2], 6, "confidence")
 
 
-@query("recommend_item", f"with {ITEMS_SQL}, {_sims('iv', 5)}, {_TOP_SQL} select id as item, rank, other as recommended, least(similarity, 1.0::double) as confidence from top")
+@query("recommend_item", f"with {ITEMS_SQL}, {_sims('iv', 5)}, {_TOP_SQL} select id as item, rank, other as recommended, {r('least(similarity, 1.0::double)', 6)} as confidence from top")
 def recommend_item(spark, sf):
-    return recommend.recommend_item(recommend.similar_entities(item_vectors(spark, sf), BALANCED))
+    return round_all(recommend.recommend_item(recommend.similar_entities(item_vectors(spark, sf), BALANCED)), 6, "confidence")
 
 
 @query("reco_metrics", f"""{_USER_RECS_SQL}
@@ -221,7 +221,7 @@ def kmeans_assign(spark, sf):
 
 @query("kmeans_choose_k")
 def kmeans_choose_k(spark, sf):
-    return cluster.kmeans_choose_k(customer_plane(spark, sf), "id", ["x", "y"], ks=range(2, 7))
+    return cluster.kmeans_choose_k(customer_plane(spark, sf), "id", ["x", "y"])
 
 
 @query("knn_distance", f"""
@@ -248,6 +248,12 @@ def dbscan_assign(spark, sf):
     return cluster.dbscan(customer_plane(spark, sf), "id", ["x", "y"], eps=0.3, min_samples=5)
 
 
+@query("dbscan_grid", _DBSCAN_SQL.replace("{eps}", "0.3::double"))
+def dbscan_grid(spark, sf):
+    """The way for large data, named, so that it is checked at any size."""
+    return cluster.dbscan(customer_plane(spark, sf), "id", ["x", "y"], eps=0.3, min_samples=5, method="grid")
+
+
 @query("silhouette", f"""
     with d as (select a.vec_id as id, a.label as own, b.label as label, sum(list_distance(a.embedding::double[], b.embedding::double[])) as total, count(*) as n
                from embeddings a join embeddings b on true group by all),

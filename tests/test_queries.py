@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tableloom.plans import load_queries
 from tools.check import rows_of
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = load_queries()
 # Queries that multiply blocks of vectors or fit small series with numpy inside tasks.
 NUMPY = {
     "cooccurrence_large_baskets", "cosine_pairs", "similar_users", "similar_items", "similarity_stats", "reco_param_impact", "reco_preview",
@@ -49,6 +50,7 @@ def test_runs_without_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_scans_read_only_what_is_needed(spark):

@@ -17,7 +17,7 @@ def matrix(n=90, d=4, seed=0):
 def sims_of(x):
     length = np.linalg.norm(x, axis=1, keepdims=True)
     unit = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-    return np.round((unit @ unit.T + 1e-9) * 1e6) / 1e6
+    return np.round((unit @ unit.T + 1e-15) * 1e12) / 1e12
 
 
 @pytest.fixture(scope="module")
