@@ -28,6 +28,15 @@ def csv_roundtrip(spark, sf):
     return files.load(spark, path, "csv", schema)
 
 
+@query("csv_inferred", "select c_custkey::int as c_custkey, c_name, case when c_custkey % 7 <> 0 then c_acctbal end as c_acctbal, case when c_custkey % 5 <> 0 then c_nationkey::int end as c_nationkey from customer")
+def csv_inferred(spark, sf):
+    """Columns whose gaps are written as tokens are still numbers."""
+    rows = table(spark, sf, "customer").select(
+        "c_custkey", "c_name", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal").cast("string")).otherwise("NA").alias("c_acctbal"),
+        F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey").cast("string")).otherwise("null").alias("c_nationkey"))
+    return files.load(spark, files.write_csv(rows, work_path(spark, "customer_gaps")), "csv")
+
+
 @query("catalog_lookup", "select p_partkey, p_name, p_brand, p_type, p_size, p_retailprice from part")
 def catalog_lookup(spark, sf):
     stored = {"Part.v1.csv": table(spark, sf, "part"), "Customer-List.csv": table(spark, sf, "customer")}

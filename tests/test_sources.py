@@ -85,3 +85,36 @@ def test_mapping_json_keeps_only_set_roles(spark):
 def test_unknown_format_is_refused(spark):
     with pytest.raises(ValueError):
         files.load(spark, "x", "orc")
+
+
+def test_types_are_inferred_after_missing_tokens(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,amount,flag,when,note,empty\n1,2.5,true,2024-01-31,NA,\n2,NA,,2024-02-01,x,NA\n3,4,false,,7,\n")
+    df = files.load(spark, str(tmp_path / "a.csv"), "csv")
+    assert dict(df.dtypes) == {"id": "int", "amount": "double", "flag": "boolean", "when": "string", "note": "string", "empty": "string"}
+    assert [r["amount"] for r in df.orderBy("id").collect()] == [2.5, None, 4.0]
+
+
+def test_workbook_dates_by_cell_style_and_types_without_a_schema(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda ref, value, style=0: f'<c r="{ref}" s="{style}"><v>{value}</v></c>'
+    text = lambda ref, value: f'<c r="{ref}" t="inlineStr"><is><t>{value}</t></is></c>'
+    rows = [
+        "".join(text(f"{c}1", n) for c, n in zip("ABCDE", ("id", "day", "moment", "amount", "ok"))),
+        cell("A2", 1) + cell("B2", 45322, 1) + cell("C2", 45322.75, 2) + cell("D2", 2.5) + '<c r="E2" t="b"><v>1</v></c>',
+        cell("A3", 2) + cell("B3", 59, 1) + cell("D3", 45322) + '<c r="E3" t="b"><v>0</v></c>']
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="a" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="t" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="dd/mm/yyyy\\ hh:mm"/><numFmt numFmtId="165" formatCode="0.0&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData>' + "".join(f'<row r="{i + 1}">{r}</row>' for i, r in enumerate(rows)) + "</sheetData></worksheet>")
+    df = files.load(spark, str(tmp_path), "xlsx")
+    assert df.dtypes == [("id", "int"), ("day", "string"), ("moment", "string"), ("amount", "double"), ("ok", "boolean")]
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "2024-01-31", "2024-01-31 18:00:00", 2.5, True), (2, "1900-02-28", None, 45322.0, False)]
+    known = files.load(spark, str(tmp_path), "xlsx", "id bigint, day date, moment timestamp_ntz")
+    assert str(known.orderBy("id").first()["day"]) == "2024-01-31" and str(known.orderBy("id").first()["moment"]) == "2024-01-31 18:00:00"
+
+
+def test_names_that_normalise_alike_are_refused(spark):
+    df = spark.range(1)
+    with pytest.raises(ValueError):
+        catalog.register({"A-b.csv": df, "a_b.xlsx": df})
