@@ -1,10 +1,9 @@
 """WARC archives with an index first: written by Spark, read back by coalesced byte ranges.
 
-Pages are dealt into archives of bounded size by a hash, one file each, and lie in them by page id. A record's length
-is known before anything is written, so the index (archive, offset, length, URL, digest) is a running sum within the
-archive. Of equal payloads the one with the largest page id is the response; the others are revisits that refer to it
-and carry HTTP headers only. A reader takes the index rows it wants, sorts them by offset, joins ranges that lie close
-together and reads each range once.
+Every task that reads pages writes one archive, so pages do not move. Of equal payloads the one with the largest page
+id is the response; the others are revisits that refer to it and carry HTTP headers only. One pass over the archives
+reads the heads of their records and writes the index: archive, offset, length, URL, digest. A reader takes the index
+rows it wants, sorts them by offset, joins ranges that lie close together and reads each range once.
 """
 
 from __future__ import annotations
@@ -16,12 +15,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from tableloom.llm.common import col
 from tableloom.session import cut_lineage, work_path
 
-ARCHIVE_BYTES = 16 << 20
+# Digests of payloads that occur again, which go to all executors; more are joined by a shuffle.
+BROADCAST_DIGESTS = 1_000_000
+# Bytes of an archive that the indexer holds, in which heads are found.
+HELD_BYTES = 4 << 20
 # Ranges closer than this are read as one, up to the largest read.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
@@ -29,6 +30,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
+INDEX = (
+    "page_id bigint, url string, archive string, offset bigint, length bigint, digest string, record_type string, refers_to bigint, payload_bytes bigint")
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, body_digest string, payload binary"
 
 
@@ -39,17 +42,18 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _records(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
-    """page_id, url, payload, digest, record_type, refers_to and `record`, the text of the record without its end."""
-    rows = pages.select(
-        col(id_col).cast("bigint").alias("page_id"), col(url_col).alias("url"), F.coalesce(col(html_col), F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
-    rows = cut_lineage(rows)
-    # Counted per digest on the map side; hot digests are split by the skew join.
-    first = rows.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("first_id"))
-    rows = rows.join(first, ["digest", "payload_bytes"], "left")
+def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """page_id, url, payload, payload_bytes, digest."""
+    rows = pages.select(col(id_col).cast("bigint").alias("page_id"), col(url_col).alias("url"), F.coalesce(col(html_col), F.lit("")).alias("payload"))
+    return rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
+
+
+def _headed(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """With `again`, for revisits, and `head`, all of the record before its payload."""
+    rows = rows.join(firsts, ["digest", "payload_bytes"], "left")
     again = F.coalesce(F.col("first_id") != F.col("page_id"), F.col("page_id").isNull() & F.col("first_id").isNotNull())
-    rows = rows.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first_id")))
+    rows = rows.withColumn("again", again).withColumn("record_type", F.when(F.col("again"), "revisit").otherwise("response"))
+    rows = rows.withColumn("refers_to", F.when(F.col("again"), F.col("first_id")))
     uuid = lambda key: F.regexp_replace(F.md5(key.cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
     name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
@@ -57,41 +61,93 @@ def _records(pages: DataFrame, id_col: str, url_col: str, html_col: str, least:
     target = F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "%20")
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.col("payload_bytes").cast("string")), F.lit("\r\n"))
-    block = F.when(again, http).otherwise(F.concat(http, "payload"))
-    revisit = F.when(again, F.concat(
+    body = F.when(F.col("again"), F.lit(0).cast("bigint")).otherwise(F.col("payload_bytes"))
+    revisit = F.when(F.col("again"), F.concat(
         line("WARC-Refers-To", uuid(name(F.col("refers_to")))), line("WARC-Refers-To-Page", F.col("refers_to").cast("string")), line("WARC-Profile", F.lit(PROFILE)))).otherwise("")
-    header = F.concat(
+    head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", uuid(name(F.col("page_id")))), line("WARC-Date", F.lit(DATE)),
         F.coalesce(line("WARC-Target-URI", target), F.lit("")), F.coalesce(line("WARC-Page", F.col("page_id").cast("string")), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), revisit,
-        line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
-    return rows.withColumn("record", F.concat(header, block)).drop("first_id")
+        line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", (F.octet_length(http) + body).cast("string")), F.lit("\r\n"), http)
+    return rows.withColumn("head", head)
 
 
-def write_archives(
-    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, archive_bytes: int = ARCHIVE_BYTES,
-) -> DataFrame:
-    """Write `path`/archives and `path`/index; the index (page_id, url, archive, offset, length, digest, record_type, refers_to, payload_bytes) is returned.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
+    """Write `path`/archives and `path`/index; the index (see `INDEX`) is returned.
 
     Of rows with equal payloads of at least `least` bytes, those with the largest page id are responses and the others
     revisits; shorter payloads are all responses. A null html is empty, a null URL is left out of the record, a row
-    without page id never is the first of its payload. Repeated rows get a record each. An empty table writes nothing.
+    without page id never is the first of its payload. Repeated rows get a record each. An empty table has no records.
     """
     spark = pages.sparkSession
-    records = _records(pages, id_col, url_col, html_col, least).withColumn("length", F.octet_length("record").cast("bigint") + len(END))
-    records = cut_lineage(records)
-    total = records.agg(F.sum("length")).first()[0] or 0
-    archives = max(1, -(-total // archive_bytes))
-    dealt = records.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.lit(archives)).cast("int"))
-    # The deal is written down, so that index and archives agree whatever is run again.
-    dealt = cut_lineage(dealt.select("archive", "page_id", "url", "record", "length", "digest", "record_type", "refers_to", "payload_bytes"))
-    order = ["page_id", "url", "record"]
-    dealt.repartition(archives, "archive").sortWithinPartitions("archive", *order).select("archive", "record").write.partitionBy("archive").option(
-        "lineSep", END).text(f"{path}/archives")
-    so_far = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    index = dealt.withColumn("offset", F.coalesce(F.sum("length").over(so_far), F.lit(0))).drop("record")
-    index.write.parquet(f"{path}/index")
-    return spark.read.schema(index.schema).parquet(f"{path}/index")
+    rows = _pages(pages, id_col, url_col, html_col)
+    # Counted on the map side. Only payloads that occur again are looked up, so that the others need not move for it.
+    firsts = rows.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    firsts = cut_lineage(firsts.where("n > 1 and first_id is not null").drop("n"))
+    if firsts.count() <= BROADCAST_DIGESTS:
+        firsts = F.broadcast(firsts)
+    record = F.concat("head", F.when(F.col("again"), "").otherwise(F.col("payload")))
+    _headed(rows, firsts).select(record.alias("record")).write.option("lineSep", END).text(f"{path}/archives")
+    index_archives(spark, path).write.parquet(f"{path}/index")
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
+
+
+def _open(file: str):
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", file))
+    return system.open_input_file(name)
+
+
+def heads(data, held_bytes: int = HELD_BYTES) -> Iterator[tuple[int, int, dict, int]]:
+    """(offset, length, header fields, payload bytes) of the records of an open archive, one after the other."""
+    size, offset, start, held = data.size(), 0, 0, b""
+    while offset < size:
+        more = held_bytes
+        while True:
+            at = offset - start
+            end = held.find(b"\r\n\r\n", at)
+            http = held.find(b"\r\n\r\n", end + 4) if end >= 0 else -1
+            if http >= 0:
+                break
+            if start + len(held) >= size and start == offset:
+                raise ValueError("an archive that ends within a record")
+            held, start, more = data.read_at(min(more, size - offset), offset), offset, 2 * more
+        fields = dict(x.split(": ", 1) for x in held[at:end].decode().split("\r\n")[1:])
+        length = end + 4 - at + int(fields["Content-Length"]) + len(END)
+        yield offset, length, fields, int(re.search(rb"\r\nContent-Length: (\d+)", held[end:http])[1])
+        offset += length
+        if offset - start >= len(held):
+            held, start = b"", offset
+
+
+def index_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The index of all records in `path`/archives; every archive is read by one task, a window at a time."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/archives").where("length > 0").select("path")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for file in part.column(0).to_pylist():
+                out, name = [], file.rsplit("/", 1)[1]
+                with _open(file) as data:
+                    for offset, length, fields, size in heads(data):
+                        number = lambda key: int(fields[key]) if key in fields else None  # noqa: B023, E731
+                        out.append({
+                            "page_id": number("WARC-Page"), "url": fields.get("WARC-Target-URI"), "archive": name, "offset": offset, "length": length,
+                            "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": fields["WARC-Type"],
+                            "refers_to": number("WARC-Refers-To-Page"), "payload_bytes": size})
+                        if len(out) == 10_000:
+                            yield _batch(out)
+                            out = []
+                yield _batch(out)
+
+    return files.mapInArrow(run, INDEX)
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    numbers = {"page_id", "offset", "length", "refers_to", "payload_bytes"}
+    return pa.RecordBatch.from_pylist(rows, pa.schema([
+        (name, pa.int64() if name in numbers else pa.string()) for name in (c.split()[0] for c in INDEX.split(", "))]))
 
 
 def coalesce_ranges(ranges: list[tuple[int, int]], gap: int = GAP_BYTES, largest: int = READ_BYTES) -> list[tuple[int, int, int]]:
@@ -133,25 +189,19 @@ def parse(record: bytes) -> dict:
 
 def read_records(spark: SparkSession, path: str, index: DataFrame, gap: int = GAP_BYTES, payloads: bool = True) -> DataFrame:
     """The records that `index` rows name, with the headers and, for responses, payloads that lie in the archives of `path`."""
-    # One row per archive: its folder and its only file.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{path}/archives").select(
-        F.regexp_extract("path", "archive=(\\d+)", 1).cast("int").alias("archive"), F.col("path").alias("file"))
-    wanted = index.select("archive", "offset", "length").join(files, "archive")
+    wanted = index.select("archive", "offset", "length")
     count = max(1, wanted.select("archive").distinct().count())
-    wanted = wanted.repartition(count, "archive").sortWithinPartitions("file", "offset")
+    wanted = wanted.repartition(count, "archive").sortWithinPartitions("archive", "offset")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for part in parts:
-            rows, files = list(zip(part.column("offset").to_pylist(), part.column("length").to_pylist())), part.column("file").to_pylist()
+            files, rows = part.column(0).to_pylist(), list(zip(part.column(1).to_pylist(), part.column(2).to_pylist()))
             at = 0
             while at < len(rows):
                 to = at
                 while to < len(rows) and files[to] == files[at]:
                     to += 1
-                system, name = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", files[at]))
-                with system.open_input_file(name) as data:
+                with _open(f"{path}/archives/{files[at]}") as data:
                     for start, length, many in coalesce_ranges(rows[at:to], gap):
                         held = data.read_at(length, start)
                         found = [parse(held[o - start:o - start + n]) for o, n in rows[at:at + many]]
@@ -162,7 +212,7 @@ def read_records(spark: SparkSession, path: str, index: DataFrame, gap: int = GA
                             ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                             ("record_type", pa.string()), ("refers_to", pa.int64()), ("body_digest", pa.string()), ("payload", pa.binary())]))
 
-    return wanted.select("file", "offset", "length").mapInArrow(run, RECORD)
+    return wanted.mapInArrow(run, RECORD)
 
 
 def archive_path(spark: SparkSession) -> str:

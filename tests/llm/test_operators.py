@@ -152,7 +152,7 @@ def test_archives_round_trip(spark):
     pages += [(500, None, None), (501, "http://e", ""), (502, "http://e\r\nEvil: 1", ""), (None, "u", "no id"), (3, "http://h/3 x", pages[3][2]), (504, "u", "z" * 300_000)]
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id bigint, url string, html string, digest int")
     path = work_path(spark, "warc")
-    index = warc.write_archives(df, path, archive_bytes=20_000)
+    index = warc.write_archives(df.repartition(5), path)
     rows = warc.read_records(spark, path, index).collect()
     text = [(p, (h or "").encode()) for p, _, h in pages]
     last = {}
@@ -169,7 +169,7 @@ def test_archives_round_trip(spark):
     assert index.select("archive").distinct().count() > 1
     # The index is that of the files: whole archives are their records on end.
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/archives").select("path", "content").collect()
-    by = {int(re.search(r"archive=(\d+)", f["path"])[1]): bytes(f["content"]) for f in files}
+    by = {f["path"].rsplit("/", 1)[1]: bytes(f["content"]) for f in files}
     for r in index.collect():
         record = by[r["archive"]][r["offset"]:r["offset"] + r["length"]]
         assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
@@ -189,6 +189,23 @@ def test_ranges_are_coalesced():
     assert warc.coalesce_ranges([(0, 10), (10, 5), (100, 5), (106, 4)], gap=1, largest=50) == [(0, 15, 2), (100, 10, 2)]
     assert warc.coalesce_ranges([(0, 30), (30, 30)], gap=5, largest=50) == [(0, 30, 1), (30, 30, 1)]
     assert warc.coalesce_ranges([]) == []
+    class Archive:
+        def __init__(self, data):
+            self.data = data
+
+        def size(self):
+            return len(self.data)
+
+        def read_at(self, n, at):
+            return self.data[at:at + n]
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n"
+    records = [b"WARC/1.1\r\nA: %d\r\nContent-Length: %d\r\n\r\n" % (n, len(http % n) + n) + http % n + b"x" * n + b"\r\n\r\n" for n in (0, 5, 300, 7)]
+    for held in (16, 100, 10_000):
+        found = list(warc.heads(Archive(b"".join(records)), held))
+        assert [f[1] for f in found] == list(map(len, records)) and [f[3] for f in found] == [0, 5, 300, 7]
+    with pytest.raises(ValueError):
+        list(warc.heads(Archive(records[0][:-30]), 16))
     with pytest.raises(ValueError):
         warc.parse(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n")
 
