@@ -18,7 +18,7 @@ NUMPY = {
     "recommend_user", "recommend_item", "reco_metrics", "reco_text", "reco_evidence", "wf_recommend", "knn_distance", "silhouette",
     "forecast_ar", "wf_forecast",
 }
-SLOW = {"train_regressors", "train_classifiers", "wf_classification", "wf_regression", "wf_clustering", "kmeans_choose_k"}
+SLOW = {"wf_event_users", "train_regressors", "train_classifiers", "wf_classification", "wf_regression", "wf_clustering", "kmeans_choose_k"}
 
 
 @pytest.fixture(scope="module")
