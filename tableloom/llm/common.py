@@ -20,6 +20,8 @@ BATCH_BYTES = 16 << 20
 def batches(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches, so that a run of very long texts does not fill a worker."""
     configure(spark)
+    # Steps that are written take less of the shared folder.
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
