@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from tableloom.llm.common import col
+from tableloom.session import cut_lineage
 
 TABLE_BITS = 18
 LONGEST_GRAM = 4
@@ -248,7 +249,11 @@ def sample(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_c
     """Up to `texts` rows per language, by the least hash, each with up to `words` of its words from a place set by the hash."""
     rows = df.where(col(lang_col).isNotNull() & col(text_col).isNotNull()).select(
         col(lang_col).cast("string").alias("lang"), col(text_col).alias("text"), F.xxhash64(col(id_col).cast("string"), col(text_col)).alias("hash"))
-    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))).where(F.col("nth") <= texts)
+    # Languages and hashes alone are ranked; a language's last hash then says which texts are read.
+    ranked = rows.select("lang", "hash").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("nth") <= texts)
+    last = cut_lineage(ranked.groupBy("lang").agg(F.max("hash").alias("last")))
+    chosen = rows.join(last, "lang").where("hash <= last")
+    ranked = chosen.groupBy("lang", "hash").agg(F.min("text").alias("text"))
     parts = ranked.withColumn("words", F.split(F.trim("text"), "\\s+"))
     at = F.expr(f"cast(pmod(hash, greatest(size(words) - {words}, 0) + 1) as int) + 1")
     return parts.select("lang", F.concat_ws(" ", F.slice("words", at, F.lit(words))).alias("text"))
