@@ -81,6 +81,13 @@ def aggregate(
     keys = list(keys)
     methods = {f: list(ms) for f, ms in methods.items() if ms}
     check_methods(df, keys, methods)
+    if any("." in c for c in df.columns):
+        # Dots would read as fields: the work is done under plain names.
+        plain = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+        done = aggregate(
+            df.toDF(*plain.values()), [plain[k] for k in keys], {plain[f]: ms for f, ms in methods.items()}, [plain.get(o, o) for o in order_by],
+            keep_null_keys, hot_rows)
+        return done.toDF(*keys, *[output_name(f, m) for f, ms in methods.items() for m in ms])
     rows = df if keep_null_keys else df.where(_keys_present(df, keys))
     rows = rows.select(*dict.fromkeys([*keys, *methods, *order_by]))
     names = [(f, m, output_name(f, m)) for f, ms in methods.items() for m in ms]

@@ -17,6 +17,10 @@ RUNTIME_CONF = {
 }
 
 
+# Folders of applications that are deleted with them.
+_TO_DELETE: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings the operators count on to an existing session."""
     for key, value in RUNTIME_CONF.items():
@@ -59,8 +63,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a table written between two steps."""
-    return f"{shared_dir(spark)}/tableloom/{uuid.uuid4().hex}/{name}"
+    """A fresh path below the shared folder for a table written between two steps; it goes when the application ends."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark)}/tableloom/{sc.applicationId}"
+    if root not in _TO_DELETE:
+        _TO_DELETE.add(root)
+        folder = sc._jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return f"{root}/{uuid.uuid4().hex}/{name}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

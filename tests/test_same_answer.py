@@ -107,3 +107,12 @@ def test_named_columns_are_all_described(spark):
     df = spark.createDataFrame([(0, *map(float, range(7)))], "c int, a double, b double, d double, e double, f double, g double, h double")
     assert {f"{x}_mean" for x in "abdefgh"} <= set(aggregate.cluster_stats(df, "c", list("abdefgh")).columns)
     assert len([x for x in aggregate.cluster_stats(df, "c").columns if x.endswith("_mean")]) == 5
+
+
+def test_columns_with_dots_aggregate(spark):
+    df = spark.createDataFrame([(1, 2.0, "a"), (1, 4.0, "a"), (2, 9.0, None)], "`k.x` int, `a.b` double, `t.t` string")
+    out = aggregate.aggregate(df, ["k.x"], {"a.b": ["Sum", "Median"], "t.t": ["Mode"]})
+    assert out.columns == ["k.x", "a.b_sum", "a.b_median", "t.t_mode"]
+    assert sorted(map(tuple, out.collect())) == [(1, 6.0, 3.0, "a"), (2, 9.0, 9.0, None)]
+    hot = aggregate.aggregate(df, ["k.x"], {"a.b": ["Median"], "t.t": ["Mode", "Unique Count"]}, hot_rows=0)
+    assert sorted(map(tuple, hot.collect())) == [(1, 3.0, "a", 1), (2, 9.0, None, 0)]
