@@ -1,9 +1,10 @@
 """Groups of nodes that are linked through shared keys, without listing the pairs of a crowd.
 
-Nodes of a key are compared with one of them, the hub, which joins most of a crowd of near copies to one group. Where
-a key then still holds several groups, another hub is tried, and after the last one only nodes of one key that are in
-different groups are compared one by one. So the groups are those of all links, while what is compared grows with the
-number of nodes and of those that fit no hub.
+A key that two nodes share is a pair. Nodes of a key that more share are compared with one of them, the hub, and each
+node with one hub only, which joins most of a crowd of near copies to one group. Where a key then still holds several
+groups, another hub is tried, and after the last one only nodes of one key that are in different groups are compared
+one by one. So the groups are those of all links, while what is compared grows with the number of nodes and of those
+that fit no hub.
 """
 
 from __future__ import annotations
@@ -11,47 +12,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from tableloom.operators.components import connected_components
 from tableloom.session import cut_lineage
 
-HUBS = 3
+HUBS = 2
+# Keys or ids that go to all executors for a filter; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
+# How to read the marks of a node.
+Marks = Callable[[str], Column]
 
-def meetings(keys: DataFrame) -> DataFrame:
-    """The rows of `keys` (key, node, ...) whose key several rows have, and their number n."""
-    return cut_lineage(keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"))
+
+def small(df: DataFrame) -> DataFrame:
+    """`df`, a written table of one or two numbers per row, for all executors if it has no more than `BROADCAST_ROWS` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def meetings(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of `keys` (key, node): the two nodes (a, b) of keys that two share, and the rows whose key more share."""
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
+    met = cut_lineage(met.where("n > 1"))
+    crowded = small(cut_lineage(met.where("n > 2").select("key")))
+    return met.where("n = 2").select("a", "b").distinct(), cut_lineage(keys.join(crowded, "key", "left_semi"))
 
 
 def groups(
-    met: DataFrame, marks: list[str], close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-    verify: Callable[[DataFrame], DataFrame] | None = None, hubs: int = HUBS,
+    keys: DataFrame, nodes: DataFrame, close: Callable[[Marks, Marks], Column], verify: Callable[[DataFrame], DataFrame] | None = None, hubs: int = HUBS,
 ) -> DataFrame:
-    """(node, root) for the nodes that links connect; `met` is (key, node, n and the columns `marks`).
+    """(node, root) for the nodes that links connect; `keys` is (key, node), `nodes` has each node once with its marks.
 
-    Two nodes of a key are linked if `close`, given how to read the marks of each, holds and `verify` keeps their pair (a, b).
+    Two nodes of a key are linked if `close` of their marks holds and `verify` keeps their pair (a, b). No node has a
+    key twice.
     """
-    live, edges, roots = met, None, None
+    marks = [c for c in nodes.columns if c != "node"]
+    end = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in marks])
+    twos, crowd = meetings(keys)
+    twos = twos.join(end("a"), "a").join(end("b"), "b").where(close(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
+    crowd = cut_lineage(crowd.join(nodes, "node"))
+    live, roots = crowd, None
     for turn in range(hubs + 1):
         if turn < hubs:
             hub = live.groupBy("key").agg(F.min_by(F.struct("node", *marks), F.xxhash64("node", F.lit(turn))).alias("hub"))
-            pairs = live.join(hub, "key").where((F.col("node") != F.col("hub.node")) & close(F.col, lambda c: F.col(f"hub.{c}"))).select(
-                F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+            pairs = live.join(hub, "key").where((F.col("node") != F.col("hub.node")) & close(F.col, lambda c: F.col(f"hub.{c}")))
+            if roots is not None:
+                pairs = pairs.join(roots.select(F.col("node").alias("h_node"), F.col("root").alias("h_root")), F.col("hub.node") == F.col("h_node"), "left").where(
+                    F.col("root") != F.coalesce("h_root", "hub.node"))
+            pairs = pairs.groupBy("node").agg(F.min("hub.node").alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
             side = lambda s: live.select("key", *[F.col(c).alias(f"{s}{c}") for c in ("node", "root", *marks)])
             pairs = side("l_").join(side("r_"), "key").where(
                 (F.col("l_root") < F.col("r_root")) & close(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"))).select(
                 F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b"))
-        pairs = cut_lineage(pairs.distinct())
+        pairs = cut_lineage((pairs.unionByName(twos) if roots is None else pairs).distinct())
         found = verify(pairs) if verify else pairs
-        # What earlier turns linked stands for the groups they made.
-        edges = cut_lineage(found if roots is None else found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-        roots = cut_lineage(connected_components(edges).select("node", F.col("label").alias("root")))
+        if roots is not None:
+            # What earlier turns linked stands for the groups they made.
+            found = found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+        roots = cut_lineage(connected_components(found).select("node", F.col("label").alias("root")))
         if turn == hubs:
             break
-        live = met.where("n > 2").select("key", "node", *marks).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        live = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = cut_lineage(live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"))
         live = cut_lineage(live.join(apart, "key", "left_semi"))
         if live.isEmpty():
             break

@@ -112,8 +112,8 @@ def test_similar_documents_join_copies_and_leave_others(spark):
 def test_hubs_find_the_groups_of_all_links(spark):
     rng = random.Random(3)
     nodes = [(n, rng.randrange(12), float(rng.randrange(60))) for n in range(150)]
-    met = crowds.meetings(spark.createDataFrame(nodes, "node bigint, key bigint, at double").select("key", "node", "at"))
-    found = crowds.groups(met, ["at"], lambda a, b: F.abs(a("at") - b("at")) <= 2)
+    rows = spark.createDataFrame(nodes, "node bigint, key bigint, at double")
+    found = crowds.groups(rows.select("key", "node"), rows.select("node", "at"), lambda a, b: F.abs(a("at") - b("at")) <= 2)
     got = {r["node"]: r["root"] for r in found.collect()}
     want = components([n[0] for n in nodes], [(a[0], b[0]) for a, b in combinations(nodes, 2) if a[1] == b[1] and abs(a[2] - b[2]) <= 2])
     assert {n: got.get(n, n) for n in want} == want
