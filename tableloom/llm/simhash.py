@@ -90,10 +90,9 @@ def links(fps: DataFrame, max_distance: int = 2) -> DataFrame:
     if max_distance not in (1, 2):
         raise ValueError("max_distance is 1 or 2")
     a, b = F.col("a"), F.col("b")
-    met = _variants(fps, max_distance).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-    met = cut_lineage(met.where("n > 1"))
-    pairs = met.where("n = 2").select("a", "b").where(_distance(a, b) <= max_distance)
-    crowded = _variants(fps, max_distance).join(met.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct()
+    pairs, crowd = crowds.meetings(_variants(fps, max_distance).withColumnRenamed("fp", "node"))
+    pairs = pairs.where(_distance(a, b) <= max_distance)
+    crowded = crowd.select(F.col("node").alias("fp")).distinct()
     if max_distance == 1:
         near = F.expr(f"transform(sequence(0, {BITS - 1}), i -> struct(i as at, fp & ~shiftleft(1L, i) as bits))")
     else:
@@ -137,10 +136,10 @@ def similar_documents(
     keys = " , ".join(
         f"(shiftleft({64 * i + 32 * half}L + at, 32) | ((shiftrightunsigned({name}, {32 * half}) & 4294967295L) & ~shiftleft(1L, at)))"
         for i, name in enumerate(names) for half in range(2))
-    met = nodes.select("node", *names, F.explode(F.sequence(F.lit(0), F.lit(31))).alias("at"))
-    met = crowds.meetings(met.select("node", *names, F.explode(F.expr(f"array({keys})")).alias("key")))
+    variants = nodes.select("node", *names, F.explode(F.sequence(F.lit(0), F.lit(31))).alias("at")).select(
+        "node", F.explode(F.expr(f"array({keys})")).alias("key"))
     close = lambda one, other: sum((F.bit_count(one(n).bitwiseXOR(other(n))) for n in names), F.lit(0)) <= most
-    rooted = nodes.join(crowds.groups(met, names, close), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.join(crowds.groups(variants, nodes.select("node", *names), close), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = cut_lineage(rooted.select(*names, "root", "least"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.drop("least"), names).join(least, "root").select("id", "component_id")
