@@ -60,7 +60,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_fuzzy_lines")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat, alike or nearly so, an earlier one."""
-    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True)
 
 
 OP6_SQL = """

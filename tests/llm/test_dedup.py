@@ -165,6 +165,30 @@ def test_line_dedup_is_that_of_brute_force(spark):
         assert got[i] == (kept, sum(a == i for a, _ in lost))
 
 
+def changed(rng, line, share):
+    """`line` with so many of its words replaced by others of their length."""
+    words = line.split()
+    for at in rng.sample(range(len(words)), max(1, int(share * len(words)))):
+        words[at] = "".join(rng.choice("vwxyzkjh") for _ in words[at])
+    return " ".join(words)
+
+
+def test_lines_of_the_edit_similarity_meet(spark):
+    rng, rows, alike = random.Random(4), [], {}
+    wanted = {(5, 0): 1, (8, 0): 1, (12, 0): 1, (24, 0): 0.97, (50, 0): 0.97, (100, 0): 0.97, (50, 0.1): 0.9}
+    for case in wanted:
+        for _ in range(100):
+            line = prose(rng, case[0])
+            other = changed(rng, line, case[1])
+            if edits(line, other) <= int(0.2 * max(len(line), len(other)) + 1e-9):
+                alike.setdefault(case, []).append(len(rows))
+            rows.append((len(rows), f"{line}\n{other}"))
+    dropped = {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), wide=True).collect()}
+    assert not any(n for i, n in dropped.items() if not any(i in ids for ids in alike.values()))
+    for case, least in wanted.items():
+        assert len(alike[case]) >= 50 and sum(dropped[i] for i in alike[case]) >= least * len(alike[case]), case
+
+
 def test_line_dedup_of_nothing(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     one = lines.dedup_lines(spark.createDataFrame([(None, "a b c d e f\na b c d e f"), (1, "a b c d e f")], "doc_id bigint, text string")).collect()
