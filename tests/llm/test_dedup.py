@@ -109,6 +109,24 @@ def test_similar_documents_join_copies_and_leave_others(spark):
     assert sum(got[i] == first[group[i]] for i in group) >= 0.9 * len(group)
 
 
+def test_similar_documents_are_those_of_the_jaccard_similarity(spark):
+    rng, rows, pairs = random.Random(6), [], []
+    runs = lambda words: set(zip(*(words[i:] for i in range(5))))
+    for edits_made in (3, 4, 5, 6, 7, 8, 9, 10, 12, 14):
+        for _ in range(20):
+            words = [f"{rng.choice(WORDS)}{rng.randrange(1000)}" for _ in range(300)]
+            other = list(words)
+            for at in rng.sample(range(300), edits_made):
+                other[at] = "new"
+            one, two = runs(words), runs(other)
+            pairs.append((len(rows), len(one & two) / len(one | two)))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i + 1] == i + 1 for i, s in pairs if s < 0.8)
+    near = [i for i, s in pairs if s >= 0.8]
+    assert len(near) >= 60 and sum(got[i + 1] == i for i in near) >= 0.99 * len(near)
+
+
 def test_hubs_find_the_groups_of_all_links(spark):
     rng = random.Random(3)
     nodes = [(n, rng.randrange(12), float(rng.randrange(60))) for n in range(150)]
