@@ -67,6 +67,14 @@ def test_stages(spark):
     assert language.words_of(seen["decontamination"].first()["text"])
 
 
+def test_line_dedup_keeps_what_is_left(spark):
+    shared = [f"the shared line number {w} of many pages stands here and there" for w in ("alpha", "beta", "gamma", "delta", "omega")]
+    rows = [(1, "\n".join(shared)), (2, "\n".join(["a clean line of its own stays"] + shared)), (3, "\n".join(shared[:2]) + "\n ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert set(got) == {1, 2} and got[1] and got[2] == "a clean line of its own stays"
+
+
 def test_stages_on_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
