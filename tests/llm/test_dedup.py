@@ -207,6 +207,12 @@ def test_lines_of_the_edit_similarity_meet(spark):
         assert len(alike[case]) >= 50 and sum(dropped[i] for i in alike[case]) >= least * len(alike[case]), case
 
 
+def test_short_and_unspaced_copies_go(spark):
+    rows = [(1, "Sign in\n12\n---\nこれは空白のない文です\nPage one"), (2, "SIGN IN!\n57\n---\nこれは空白のない文です\nPage two")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), wide=True).collect()}
+    assert got == {1: rows[0][1], 2: "57\n---\nPage two"}
+
+
 def test_line_dedup_of_nothing(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     one = lines.dedup_lines(spark.createDataFrame([(None, "a b c d e f\na b c d e f"), (1, "a b c d e f")], "doc_id bigint, text string")).collect()
