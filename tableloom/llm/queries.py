@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableloom.llm import bitslices, decontaminate, language, lines, mixing, packing, secrets, shards, simhash, warc
+from tableloom.llm import bitslices, decontaminate, language, lines, manifest, mixing, packing, secrets, shards, simhash, urls, warc, whitening
 from tableloom.llm.common import QUERIES, SQL, query, table
 
 
@@ -137,5 +137,71 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+# (host, path, verdict).
+URL_RULES = (
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+OP11_SQL = r"""
+with p as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end rest from pages),
+u as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from p),
+r(rh, rp, verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
+select page_id, host, path, (select arg_max(rh || rp, length(rh || rp)) from r where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)) as "rule",
+  coalesce((select arg_max(verdict, length(rh || rp)) from r where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)), 'allow') verdict from u"""
+
+
+@query("op11_url_filters", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL, and the rule that gives it."""
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return urls.judge_urls(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
+OP12_SQL = r"""
+with recursive e as (select doc_id, coalesce('+' || source, '') tree, crc32n % 2 = 0 bad,
+    concat(case when doc_id is null then '-' else length(doc_id::varchar) || ':' || doc_id end, case when source is null then '-' else octet_length(encode(source)) || ':' || source end,
+      case when lang is null then '-' else octet_length(encode(lang)) || ':' || lang end, case when n_chars is null then '-' else length(n_chars::varchar) || ':' || n_chars end) head, text, replace(text, chr(10), '') cut
+  from (select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, [('0x' || x)::bigint for x in regexp_extract_all(hex(encode(doc_id::varchar)), '..')]),
+    lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end))) crc32n from documents)),
+l as (select doc_id, tree, bad, sha256(head || case when text is null then '-' else octet_length(encode(text)) || ':' || text end) leaf,
+  sha256(head || case when cut is null then '-' else octet_length(encode(cut)) || ':' || cut end) cut_leaf from e),
+p as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 at0 from l),
+low(tree, lvl, idx, h, n) as (
+  select tree, 0, at0, leaf, count(*) over (partition by tree) from p
+  union all select tree, any_value(lvl) + 1, idx // 3, sha256(string_agg(h, '' order by idx)), (any_value(n) + 2) // 3 from low where n > 1 group by tree, idx // 3),
+s as (select tree, h subroot, row_number() over (order by tree) - 1 at1 from low where n = 1),
+high(lvl, idx, h, n) as (
+  select 0, at1, subroot, count(*) over () from s
+  union all select any_value(lvl) + 1, idx // 3, sha256(string_agg(h, '' order by idx)), (any_value(n) + 2) // 3 from high where n > 1 group by idx // 3),
+steps as (
+  select p.tree, at0, 0 part, a.lvl, coalesce(string_agg(b.h, '' order by b.idx) filter (b.idx < a.idx), '') l, coalesce(string_agg(b.h, '' order by b.idx) filter (b.idx > a.idx), '') r
+  from p join low a on a.tree = p.tree and a.n > 1 and a.idx = p.at0 // (3 ** a.lvl)::bigint join low b on b.tree = a.tree and b.lvl = a.lvl and b.idx // 3 = a.idx // 3 group by all
+  union all select p.tree, at0, 1, a.lvl, coalesce(string_agg(b.h, '' order by b.idx) filter (b.idx < a.idx), ''), coalesce(string_agg(b.h, '' order by b.idx) filter (b.idx > a.idx), '')
+  from p join s using (tree) join high a on a.n > 1 and a.idx = s.at1 // (3 ** a.lvl)::bigint join high b on b.lvl = a.lvl and b.idx // 3 = a.idx // 3 group by all),
+o as (select tree, at0, sha256(string_agg(l || r, '' order by part, lvl)) proof, list([l, r] order by part, lvl) lr from steps group by all),
+f as (select doc_id, leaf, subroot, (select h from high where n = 1) root, coalesce(proof, sha256('')) proof_sha256,
+    list_reduce(list_prepend([case when bad then cut_leaf else leaf end, ''], coalesce(lr, [])), lambda x, y: [sha256(y[1] || x[1] || y[2]), ''])[1] folded_root
+  from p join s using (tree) left join o using (tree, at0))
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root verified from f"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest, and whether the proof holds when every other text loses its line ends."""
+    text = F.col("text")
+    cut = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    found = manifest.manifest(table(spark, sf_dir, "documents"), tamper={"text": cut})
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.sha(manifest.siblings_text(F.col("proof"))).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_feast_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four components of largest variance, whitened."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), id_col="vec_id", vec_col="embedding", scale=256, components=4)
+    return found.select(
+        F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("bigint").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 def load_queries() -> tuple[dict, dict]:
     return dict(QUERIES), dict(SQL)
