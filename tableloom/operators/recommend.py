@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tableloom.functions.scalars import rounded
-from tableloom.operators.pairwise import BUCKET, STEP_DIGITS, cosine_buckets, cosine_counts, cosine_topn, cosine_values, pack_blocks
+from tableloom.operators.pairwise import STEP_DIGITS, cosine_buckets, cosine_counts, cosine_topn, cosine_values, pack_blocks
 from tableloom.operators.profile import interaction_density
 
 
@@ -49,10 +49,11 @@ def choose_approach(df: DataFrame, item: str, user: str | None = None) -> DataFr
 def similarity_stats(vectors: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Facts on the similarity matrix, diagonal included; one row. The matrix is never stored.
 
-    A first pass counts cells per bucket of 0.001, which yields sums and shares and shows the few
-    buckets that hold the smallest, the largest and the quartile values; a second pass looks into those.
+    A first pass counts cells per bucket of 0.001, which yields sums and shares in full and shows the few
+    buckets that hold the smallest, the largest and the quartile values; a second pass looks into those, where the blocks'
+    directions allow them, and gives them to the sixth digit.
     """
-    packed = pack_blocks(vectors, block_rows)
+    packed = pack_blocks(vectors, block_rows, by_direction=True)
     # At most 2,002 rows.
     buckets = sorted((r["bucket"], r["n"], r["total"]) for r in cosine_buckets(vectors, packed).collect())
     cells = sum(n for _, n, _ in buckets)
@@ -70,7 +71,7 @@ def similarity_stats(vectors: DataFrame, block_rows: int | None = None) -> DataF
     inside: dict[int, list[tuple[int, int]]] = {}
     if wanted:
         for r in cosine_values(vectors, sorted(wanted), packed).collect():
-            inside.setdefault(-(-r["step"] // BUCKET), []).append((r["step"], r["n"]))
+            inside.setdefault(r["bucket"], []).append((r["step"], r["n"]))
 
     def value_at(rank: int) -> float:
         """Similarity of the positive cell with this rank."""
@@ -95,7 +96,7 @@ def similarity_stats(vectors: DataFrame, block_rows: int | None = None) -> DataF
             first = value_at(low)
             facts[name] = first + (value_at(low + 1) - first) * share if share else first
     row = (
-        size, sum(t for _, _, t in buckets) / 10**STEP_DIGITS / cells if cells else None,
+        size, sum(t for _, _, t in buckets) / cells if cells else None,
         max(s for s, _ in inside[buckets[-1][0]]) / 10**STEP_DIGITS if cells else None,
         facts["min_positive"], facts["q25"], facts["q50"], facts["q75"],
         above(300) / size if size else None, above(500) / 2 / (size * (size - 1) / 2) * 100 if size > 1 else None,

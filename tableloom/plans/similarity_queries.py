@@ -103,12 +103,12 @@ def similar_items(spark, sf):
 
 
 @query("similarity_stats", f"""
-    with {USERS_SQL}, {_sims('uv', 6, 6)}, n as (select count(*)::double as n from uv)
-    select (select n from n)::bigint as n_entities, {r('avg(similarity)', 5)} as mean_similarity, max(similarity) as max_similarity,
-      min(similarity) filter (similarity > 0) as min_positive, {r('quantile_cont(similarity, 0.25) filter (similarity > 0)', 5)} as q25,
-      {r('quantile_cont(similarity, 0.5) filter (similarity > 0)', 5)} as q50, {r('quantile_cont(similarity, 0.75) filter (similarity > 0)', 5)} as q75,
+    with {USERS_SQL}, {_sims('uv', 6)}, n as (select count(*)::double as n from uv), s as (select similarity, {r('similarity', 6)} as step from sims)
+    select (select n from n)::bigint as n_entities, {r('avg(similarity)', 5)} as mean_similarity, max(step) as max_similarity,
+      min(step) filter (similarity > 0) as min_positive, {r('quantile_cont(step, 0.25) filter (similarity > 0)', 5)} as q25,
+      {r('quantile_cont(step, 0.5) filter (similarity > 0)', 5)} as q50, {r('quantile_cont(step, 0.75) filter (similarity > 0)', 5)} as q75,
       {r('count(*) filter (similarity > 0.3) / (select n from n)', 5)} as mean_above_03,
-      {r('(count(*) filter (similarity > 0.5) / 2.0::double) / ((select n from n) * ((select n from n) - 1) / 2.0::double) * 100', 5)} as strong_pair_pct from sims""")
+      {r('(count(*) filter (similarity > 0.5) / 2.0::double) / ((select n from n) * ((select n from n) - 1) / 2.0::double) * 100', 5)} as strong_pair_pct from s""")
 def similarity_stats(spark, sf):
     stats = recommend.similarity_stats(user_vectors(spark, sf))
     return round_all(stats, 5, "mean_similarity", "q25", "q50", "q75", "mean_above_03", "strong_pair_pct")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,8 @@ RUNTIME_CONF = {
 
 # Folders of applications that are deleted with them.
 _TO_DELETE: set[str] = set()
+# Per call of `settled` that is under way: the folders of the steps written since.
+_OPEN: list[list[str]] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -72,7 +75,10 @@ def work_path(spark: SparkSession, name: str) -> str:
         files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
         files.mkdirs(folder)
         files.deleteOnExit(folder)
-    return f"{root}/{uuid.uuid4().hex}/{name}"
+    folder = f"{root}/{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(folder)
+    return f"{folder}/{name}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -84,3 +90,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = work_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of `make` as a written step; the steps that led to it are deleted, as nothing reads them any more.
+
+    `make` returns a frame on which nothing else is built, and no frame built in it is used later.
+    """
+    _OPEN.append([])
+    try:
+        found = make()
+        steps = _OPEN[-1]
+        _OPEN[-1] = []
+        result = cut_lineage(found)
+        kept = _OPEN[-1]
+    except BaseException:
+        _OPEN.pop()
+        raise
+    _OPEN.pop()
+    if _OPEN:
+        # To whoever is about it, the result is a step.
+        _OPEN[-1].extend(kept)
+    sc = spark.sparkContext
+    for step in steps:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(step)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+    return result

@@ -58,9 +58,10 @@ def test_pairs_buckets_counts(data, block):
     assert pairs == {(i, j): sims[i, j] for i in range(n) for j in range(i + 1, n) if sims[i, j] >= 0.5}
     packed = pairwise.pack_blocks(vectors, block)
     steps = np.rint((sims + 1e-9) * 1e6).astype(int)
-    buckets = np.ceil(steps / 1000).astype(int)
+    buckets = np.ceil(np.rint(sims * 1e12) / 1e9).astype(int)
     got = {r["bucket"]: (r["n"], r["total"]) for r in pairwise.cosine_buckets(vectors, packed).collect()}
-    assert got == {k: ((buckets == k).sum(), steps[buckets == k].sum()) for k in np.unique(buckets).tolist()}
+    assert {k: n for k, (n, _) in got.items()} == {k: (buckets == k).sum() for k in np.unique(buckets).tolist()}
+    assert all(np.isclose(total, sims[buckets == k].sum(), atol=1e-9) for k, (_, total) in got.items())
     some = [1000, int(buckets.min())]
     values, counts = np.unique(steps[np.isin(buckets, some)], return_counts=True)
     assert {r["step"]: r["n"] for r in pairwise.cosine_values(vectors, some, packed).collect()} == dict(zip(values.tolist(), counts.tolist()))
@@ -68,6 +69,39 @@ def test_pairs_buckets_counts(data, block):
     assert counts == {i: int((sims[i] >= 0.5).sum()) for i in range(n)}
 
 
+def test_blocks_that_cannot_matter_do_not_meet(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    # Forty narrow directions, one of them with a third of the vectors, opposite ones and vectors of length zero among them.
+    centres = rng.normal(size=(40, 4))
+    centres[1] = -centres[0]
+    x = np.concatenate([centres[rng.integers(0, 40, 500)] + 0.02 * rng.normal(size=(500, 4)), np.repeat(centres[:1], 250, axis=0), np.zeros((6, 4))])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    sims, n = sims_of(x), len(x)
+    seen, plain = [], pairwise.tiles_of
+
+    def counted(*args, **options):
+        tiles = plain(*args, **options)
+        seen.append((args[0].blocks, tiles.count()))
+        return tiles
+
+    monkeypatch.setattr(pairwise, "tiles_of", counted)
+    monkeypatch.setattr(pairwise, "FEW_BLOCKS", 3)
+    for limit in (0.95, -0.95):
+        counts = {r["id"]: r["n"] for r in pairwise.cosine_counts(vectors, limit, 20).collect()}
+        assert counts == {i: int((sims[i] >= limit).sum()) for i in range(n)}
+    pairs = {(r["id_a"], r["id_b"]) for r in pairwise.cosine_pairs(vectors, 0.95, 20).collect()}
+    assert pairs == {(i, j) for i, j in zip(*np.nonzero(sims >= 0.95)) if i < j}
+    found = {}
+    for r in pairwise.cosine_topn(vectors, 3, None, 20).collect():
+        found.setdefault(r["id"], {})[r["rank"]] = r["other"]
+    for i in range(n):
+        assert [found[i][k] for k in (1, 2, 3)] == [j for _, j in sorted((-sims[i, j], j) for j in range(n) if j != i)[:3]]
+    buckets = np.ceil(np.rint(sims * 1e12) / 1e9).astype(int)
+    assert sum(r["n"] for r in pairwise.cosine_values(vectors, [1000, 3]).collect()) == np.isin(buckets, [1000, 3]).sum()
+    # Blocks of 20 rows: most pairs of blocks are left out.
+    assert len(seen) == 5 and all(tiles < blocks * (blocks + 1) / 2 * 0.6 for blocks, tiles in seen[:4])
+
+
 @pytest.mark.parametrize("d", [2, 20])
 def test_distances(spark, d):
     x = np.random.default_rng(1).normal(size=(60, d))
@@ -81,15 +115,16 @@ def test_distances(spark, d):
 
 def test_statistics_equal_the_matrix(data):
     x, vectors = data
-    # Statistics of the whole matrix count its cells by the sixth digit.
-    sims = np.rint((sims_of(x) + 1e-9) * 1e6) / 1e6
+    full = sims_of(x)
+    # Single values are given to the sixth digit; thresholds are compared in full.
+    sims = np.rint((full + 1e-9) * 1e6) / 1e6
     got = recommend.similarity_stats(vectors, 17).first()
     n = len(x)
-    assert got["n_entities"] == n and got["max_similarity"] == 1.0 and got["min_positive"] == sims[sims > 0].min()
+    assert got["n_entities"] == n and got["max_similarity"] == 1.0 and got["min_positive"] == sims[full > 0].min()
     assert got["mean_similarity"] == pytest.approx(sims.mean())
-    assert [got["q25"], got["q50"], got["q75"]] == pytest.approx(np.percentile(sims[sims > 0], [25, 50, 75]).tolist())
-    assert got["mean_above_03"] == pytest.approx((sims > 0.3).sum() / n)
-    assert got["strong_pair_pct"] == pytest.approx((sims > 0.5).sum() / 2 / (n * (n - 1) / 2) * 100)
+    assert [got["q25"], got["q50"], got["q75"]] == pytest.approx(np.percentile(sims[full > 0], [25, 50, 75]).tolist())
+    assert got["mean_above_03"] == pytest.approx((full > 0.3).sum() / n)
+    assert got["strong_pair_pct"] == pytest.approx((full > 0.5).sum() / 2 / (n * (n - 1) / 2) * 100)
 
 
 def test_parameter_impact_golden(spark):
