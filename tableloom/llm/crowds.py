@@ -3,8 +3,9 @@
 A key that two nodes share is a pair. Nodes of a key that more share are compared with one of them, the hub, and each
 node with one hub only, which joins most of a crowd of near copies to one group. Where a key then still holds several
 groups, another hub is tried, and after the last one only nodes of one key that are in different groups are compared
-one by one. So the groups are those of all links, while what is compared grows with the number of nodes and of those
-that fit no hub.
+one by one. A key of which many are apart even then is parted by finer keys, if the caller has any, so that what is
+compared grows with the number of nodes and not with the square of a crowd; without finer keys the groups are those of
+all links.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableloom.operators.components import connected_components
-from tableloom.session import cut_lineage
+from tableloom.session import cut_lineage, settled
 
 HUBS = 2
+# Nodes of one key, apart after the hubs, that are compared with each other as they are; more are parted by finer keys first.
+CROWD = 128
 # Keys or ids that go to all executors for a filter; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -39,11 +42,13 @@ def meetings(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def groups(
     keys: DataFrame, nodes: DataFrame, close: Callable[[Marks, Marks], Column], verify: Callable[[DataFrame], DataFrame] | None = None, hubs: int = HUBS,
+    finer: Column | None = None,
 ) -> DataFrame:
     """(node, root) for the nodes that links connect; `keys` is (key, node), `nodes` has each node once with its marks.
 
     Two nodes of a key are linked if `close` of their marks holds and `verify` keeps their pair (a, b). No node has a
-    key twice.
+    key twice. `finer` is an array of numbers over `key` and the marks: of a key that leaves more than `CROWD` nodes apart,
+    two are compared if they share one of these too.
     """
     marks = [c for c in nodes.columns if c != "node"]
     end = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in marks])
@@ -60,7 +65,12 @@ def groups(
                     F.col("root") != F.coalesce("h_root", "hub.node"))
             pairs = pairs.groupBy("node").agg(F.min("hub.node").alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
-            side = lambda s: live.select("key", *[F.col(c).alias(f"{s}{c}") for c in ("node", "root", *marks)])
+            apart_rows = live
+            if finer is not None:
+                crowded = live.join(small(cut_lineage(live.groupBy("key").count().where(F.col("count") > CROWD).select("key"))).withColumn("many", F.lit(True)), "key", "left")
+                crowded = crowded.withColumn("key", F.explode(F.when(F.col("many"), F.array_distinct(finer)).otherwise(F.array("key"))))
+                apart_rows = cut_lineage(crowded.drop("many"))
+            side = lambda s: apart_rows.select("key", *[F.col(c).alias(f"{s}{c}") for c in ("node", "root", *marks)])
             pairs = side("l_").join(side("r_"), "key").where(
                 (F.col("l_root") < F.col("r_root")) & close(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}"))).select(
                 F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b"))
@@ -69,7 +79,7 @@ def groups(
         if roots is not None:
             # What earlier turns linked stands for the groups they made.
             found = found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
-        roots = cut_lineage(connected_components(found).select("node", F.col("label").alias("root")))
+        roots = settled(found.sparkSession, lambda found=found: connected_components(found).select("node", F.col("label").alias("root")))
         if turn == hubs:
             break
         live = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
