@@ -3,22 +3,22 @@
 Sums, minima, averages and counts combine on the map side and need no care. Quantiles, modes and
 distinct counts keep state that grows with the values of a group, so groups above `HOT_ROWS` rows
 take another route: modes and distinct counts first count (group, value) pairs, which spreads a hot
-group over all tasks; quantiles narrow a value range by histograms that combine on the map side.
+group over all tasks; quantiles narrow a value range by histograms that combine on the map side. Which groups
+are hot, the ranges and the histograms are tables: nothing that grows with the groups reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import isfinite
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from tableloom.session import cut_lineage
+
 # Rows per group that one task may hold as the state of a quantile, mode or set.
 HOT_ROWS = 200_000
-# More hot groups than this stay distributed (written to the shared folder) and are never listed here.
-MAX_HOT_KEYS = 20_000
 HISTOGRAM_BINS = 1024
 
 
@@ -26,14 +26,19 @@ def key_match(left_keys: Sequence[Column], right_keys: Sequence[Column]) -> Colu
     return reduce(lambda a, b: a & b, [l.eqNullSafe(r) for l, r in zip(left_keys, right_keys)])
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> list | None:
-    """Keys of the groups with more than `hot_rows` rows; None when there are too many to list."""
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
+    """A written table of the keys, as __k0, __k1, ..., of the groups with more than `hot_rows` rows; None if there is none."""
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    found = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-        .limit(MAX_HOT_KEYS + 1).collect()
-    )
-    return None if len(found) > MAX_HOT_KEYS else [tuple(r[k] for k in keys) for r in found]
+    found = df.groupBy(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    found = cut_lineage(found.drop("__n") if keys else found.select(F.lit(0).alias("__all")))
+    return None if found.isEmpty() else found
+
+
+def of_groups(df: DataFrame, keys: Sequence[str], listed: DataFrame, how: str) -> DataFrame:
+    """The rows of `df` whose group is among those of `hot_groups` (`how` left_semi) or is not (left_anti)."""
+    if not keys:
+        return df if how == "left_semi" else df.limit(0)
+    return df.join(listed, key_match([df[f"`{k}`"] for k in keys], [listed[f"__k{i}"] for i in range(len(keys))]), how)
 
 
 def group_modes(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFrame:
@@ -53,138 +58,80 @@ def group_quantiles(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group as an array column `out`."""
-    keys = list(keys)
-    values = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__v"))
-    hot = hot_groups(values, keys, hot_rows)
+    names = [f"__q{i}" for i in range(len(keys))]
+    values = df.where(F.col(f"`{col}`").isNotNull()).select(*[F.col(f"`{k}`").alias(q) for k, q in zip(keys, names)], F.col(f"`{col}`").cast("double").alias("__v"))
+    hot = hot_groups(values, names, hot_rows)
     direct = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias(out)
-    if hot == []:
-        return values.groupBy(*keys).agg(direct)
-    schema = T.StructType([df.schema[k] for k in keys])
-    spark = df.sparkSession
-    rest = lambda part: part.groupBy(*keys).agg(direct)
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    while hot is None:
-        # Too many to search one by one: search the largest, rank the others in windows that spill.
-        rest, limit = (lambda part: _ranked_quantiles(part, keys, probs, out)), max(64, limit * 64)
-        hot = hot_groups(values, keys, limit)
-    if not hot:
-        return rest(values)
-    found = _narrowed_quantiles(values, keys, hot, probs)
-    hot_schema = T.StructType(schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    hot_out = spark.createDataFrame([(*k, q) for k, q in zip(hot, found)], hot_schema)
+    if hot is None:
+        return values.groupBy(*names).agg(direct).toDF(*keys, out)
+    large = _narrowed_quantiles(of_groups(values, names, hot, "left_semi"), names, probs, out)
     if not keys:
-        return hot_out
-    listed = F.broadcast(spark.createDataFrame(hot, schema).toDF(*[f"__{k}" for k in keys]))
-    match = key_match([values[k] for k in keys], [listed[f"__{k}"] for k in keys])
-    cold = values.join(listed, match, "left_anti")
-    return rest(cold).unionByName(hot_out)
-
-
-def _ranked_quantiles(values: DataFrame, keys, probs, out) -> DataFrame:
-    """Quantiles when very many groups are hot: running counts over distinct values, which spill to disk."""
-    counts = values.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("__hi", F.sum("__n").over(upto)).withColumn("__lo", F.col("__hi") - F.col("__n"))
-    ranked = ranked.join(
-        values.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total")), on=list(keys)
-    )
-    parts = []
-    for p in probs:
-        pos = F.lit(float(p)) * (F.col("__total") - 1)
-        at = lambda k: F.max(F.when((F.col("__lo") <= k) & (k < F.col("__hi")), F.col("__v")))
-        low, high = at(F.floor(pos)), at(F.ceil(pos))
-        parts.append(low + (high - low) * F.max(pos - F.floor(pos)))
-    return ranked.groupBy(*keys).agg(F.array(*parts).alias(out))
+        return large
+    return of_groups(values, names, hot, "left_anti").groupBy(*names).agg(direct).unionByName(large).toDF(*keys, out)
 
 
-def _narrowed_quantiles(values: DataFrame, keys, hot: list, probs) -> list[list[float]]:
-    """Find the values at the wanted ranks of a few large groups by shrinking value ranges.
+def _narrowed_quantiles(values: DataFrame, keys: Sequence[str], probs: Sequence[float], out: str) -> DataFrame:
+    """Exact quantiles of (keys, __v), for groups however large, by shrinking the range of values that holds each wanted rank.
 
-    Each round counts, for every open search, how many values fall into each of `HISTOGRAM_BINS`
-    slices of its range. Tasks send at most searches x bins rows, whatever the data size.
+    A search is one row: the range, how many values lie below it and what follows it. Each round counts, for all open
+    searches in one scan, how many values fall into each of `HISTOGRAM_BINS` slices of their range; a window over the bins of a
+    search picks the slice that holds its rank. A round is a table in the shared folder.
     """
-    spark = values.sparkSession
-    schema = T.StructType([values.schema[k] for k in keys] + [T.StructField("__g", T.IntegerType())])
-    groups = spark.createDataFrame([(*k, i) for i, k in enumerate(hot)], schema)
-    if keys:
-        on = key_match([values[k] for k in keys], [groups[k] for k in keys])
-        tagged = values.join(F.broadcast(groups), on).select("__g", "__v")
+    keys = list(keys)
+    if not keys:
+        values, keys, plain = values.withColumn("__all", F.lit(0)), ["__all"], True
     else:
-        tagged = values.select(F.lit(0).alias("__g"), "__v")
+        plain = False
+    infinite, bottom = F.lit(float("inf")), F.lit(float("-inf"))
     # Infinite values and NaN, which sorts last, are counted; the search is among the others.
-    finite = ~F.isnan("__v") & (F.abs("__v") != float("inf"))
-    ranges = {
-        r["__g"]: r
-        for r in tagged.groupBy("__g").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.when(finite, F.col("__v"))).alias("lo"), F.max(F.when(finite, F.col("__v"))).alias("hi"),
-            F.count_if(F.col("__v") == float("-inf")).alias("below"), F.count_if(F.col("__v") == float("inf")).alias("above"), F.count_if(F.isnan("__v")).alias("odd"),
-        ).collect()
-    }
-    answers: dict[tuple[int, int], tuple[float, float]] = {}
-    searches = {}
-    for g, row in ranges.items():
-        for j, p in enumerate(probs):
-            pos = p * (row["n"] - 1)
-            # `after` is what follows the last finite value.
-            after = {"after": float("inf") if row["above"] else float("nan")} if row["above"] + row["odd"] else {}
-            searches[g, j] = dict(lo=row["lo"], hi=row["hi"], below=row["below"], k=int(pos), pos=pos, n=row["n"], last=row["n"] - row["above"] - row["odd"] - 1, **after)
-    open_ = dict(searches)
-    for (g, j), s in searches.items():
-        row = ranges[g]
-        ends = [(row["below"], float("-inf")), (row["n"] - row["above"] - row["odd"], None), (row["n"] - row["odd"], float("inf")), (row["n"], float("nan"))]
-        at = lambda k: next(v for to, v in ends if k < to)  # noqa: B023, E731
-        if at(s["k"]) is not None:
-            high = at(min(s["k"] + 1, s["n"] - 1))
-            answers[g, j] = (at(s["k"]), row["lo"] if high is None else high)
-            del open_[g, j]
-    while open_:
-        for key, s in list(open_.items()):
-            if s["lo"] == s["hi"]:
-                # The last of these equal values may be followed by something else.
-                answers[key] = (s["lo"], s["after"] if "after" in s and s["k"] == s["last"] else s["lo"])
-                del open_[key]
-        if not open_:
-            break
-        state = spark.createDataFrame(
-            [(g, j, s["lo"], s["hi"]) for (g, j), s in open_.items()], "__g int, j int, lo double, hi double"
-        )
-        inside = tagged.join(F.broadcast(state), "__g").where(F.col("__v").between(F.col("lo"), F.col("hi")))
-        scaled = (F.col("__v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        slot = F.least(F.floor(scaled * HISTOGRAM_BINS), F.lit(HISTOGRAM_BINS - 1))
-        bins = (
-            inside.withColumn("bin", slot).groupBy("__g", "j", "bin")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-            .collect()
-        )
-        by_search: dict[tuple[int, int], list] = {}
-        for b in sorted(bins, key=lambda b: b["lo"]):
-            by_search.setdefault((b["__g"], b["j"]), []).append(b)
-        for key, found in by_search.items():
-            s, seen = open_[key], open_[key]["below"]
-            for i, b in enumerate(found):
-                last = seen + b["n"] - 1
-                if s["k"] <= last:
-                    if s["k"] == last:
-                        nxt = found[i + 1]["lo"] if i + 1 < len(found) else s.get("after", b["hi"])
-                        answers[key] = (b["hi"], nxt)
-                        del open_[key]
-                    else:
-                        if i + 1 < len(found):
-                            s["after"] = found[i + 1]["lo"]
-                        s.update(lo=b["lo"], hi=b["hi"], below=seen)
-                    break
-                seen += b["n"]
-    result = []
-    for g in range(len(hot)):
-        row = []
-        for j, _ in enumerate(probs):
-            low, high = answers[g, j]
-            frac = searches[g, j]["pos"] - searches[g, j]["k"]
-            if frac > 0 and low != high:
-                low = low + (high - low) * frac if isfinite(low) and isfinite(high) else (1 - frac) * low + frac * high
-            row.append(float(low))
-        result.append(row)
-    return result
+    finite = ~F.isnan("__v") & (F.abs("__v") != infinite)
+    known = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(finite, F.col("__v"))).alias("lo"), F.max(F.when(finite, F.col("__v"))).alias("hi"),
+        F.count_if(F.col("__v") == bottom).alias("low"), F.count_if(F.col("__v") == infinite).alias("high"), F.count_if(F.isnan("__v")).alias("odd"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, p in enumerate(probs)])).alias("w")
+    searches = known.select(*keys, "n", "lo", "hi", "low", "high", "odd", wanted).select("*", "w.j", (F.col("w.p") * (F.col("n") - 1)).alias("pos"))
+    searches = cut_lineage(searches.withColumn("k", F.floor("pos")).drop("w"))
+
+    def outside(rank: Column) -> Column:
+        """The value at a rank that is no finite one; null if it is."""
+        return F.when(rank < F.col("low"), bottom).when(rank < F.col("n") - F.col("high") - F.col("odd"), F.lit(None).cast("double")).when(
+            rank < F.col("n") - F.col("odd"), infinite).otherwise(F.lit(float("nan")))
+
+    above = F.least(F.col("k") + 1, F.col("n") - 1)
+    first = searches.where(outside(F.col("k")).isNotNull()).select(
+        *keys, "j", outside(F.col("k")).alias("a"), F.coalesce(outside(above), "lo").alias("b"))
+    answers = [first]
+    # `after` is what follows the range, null if it is not known to be anything.
+    after = F.when(F.col("high") > 0, infinite).when(F.col("odd") > 0, F.lit(float("nan")))
+    state = cut_lineage(searches.where(outside(F.col("k")).isNull()).select(*keys, "j", "k", "lo", "hi", F.col("low").alias("below"), after.alias("after")))
+    names = [f"__s{i}" for i in range(len(keys))]
+    while not state.isEmpty():
+        sought = state.select(*[F.col(k).alias(s) for k, s in zip(keys, names)], "j", "k", "lo", "hi", "below", "after")
+        inside = values.join(sought, key_match([F.col(k) for k in keys], [F.col(s) for s in names])).where(F.col("__v").between(F.col("lo"), F.col("hi")))
+        scaled = F.try_divide(F.col("__v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+        slot = F.coalesce(F.least(F.floor(scaled * HISTOGRAM_BINS), F.lit(HISTOGRAM_BINS - 1)), F.lit(0))
+        bins = inside.groupBy(*keys, "j", slot.alias("bin")).agg(
+            F.count(F.lit(1)).alias("m"), F.min("__v").alias("v0"), F.max("__v").alias("v1"),
+            F.first("k").alias("k"), F.first("below").alias("below"), F.first("after").alias("after"))
+        # At most HISTOGRAM_BINS rows per search.
+        order = Window.partitionBy(*keys, "j").orderBy("bin")
+        upto = F.col("below") + F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        counted = bins.withColumn("upto", upto).withColumn("follows", F.coalesce(F.lead("v0").over(order), F.col("after")))
+        picked = cut_lineage(counted.where((F.col("upto") - F.col("m") <= F.col("k")) & (F.col("k") < F.col("upto"))))
+        last = F.col("k") == F.col("upto") - 1
+        done = last | (F.col("v0") == F.col("v1"))
+        answers.append(picked.where(done).select(*keys, "j", F.col("v1").alias("a"), F.when(last, F.coalesce("follows", "v1")).otherwise(F.col("v1")).alias("b")))
+        state = picked.where(~done).select(
+            *keys, "j", "k", F.col("v0").alias("lo"), F.col("v1").alias("hi"), (F.col("upto") - F.col("m")).alias("below"), F.col("follows").alias("after"))
+    found = reduce(DataFrame.unionByName, answers).toDF(*names, "__j", "a", "b")
+    both = searches.select(*keys, "j", (F.col("pos") - F.col("k")).alias("share")).join(
+        found, key_match([F.col(k) for k in keys] + [F.col("j")], [F.col(s) for s in names] + [F.col("__j")]))
+    a, b, share = F.col("a"), F.col("b"), F.col("share")
+    sound = lambda x: ~F.isnan(x) & (F.abs(x) != infinite)
+    value = F.when((share <= 0) | (a == b), a).when(sound(a) & sound(b), a + (b - a) * share).otherwise((1 - share) * a + share * b)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("j", value.alias("q")))), lambda x: x["q"]).alias(out)
+    result = both.groupBy(*keys).agg(listed)
+    return result.drop("__all") if plain else result
 
 
 def global_quantiles(
@@ -204,7 +151,8 @@ def global_quantiles(
         # One search for all columns, so that a round is one scan.
         cells = [F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(large)]
         values = df.select(F.explode(F.array(*cells)).alias("x")).select(F.col("x.c").alias("__c"), F.col("x.v").alias("__v")).where("__v is not null")
-        result.update(zip(large, _narrowed_quantiles(values, ["__c"], [(i,) for i in range(len(large))], probs)))
+        # One row per column.
+        result.update({large[r["__c"]]: r["__q"] for r in _narrowed_quantiles(values, ["__c"], probs, "__q").collect()})
     return result
 
 

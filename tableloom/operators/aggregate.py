@@ -101,14 +101,10 @@ def aggregate(
     if not growing:
         return one_pass(rows)
     hot = stats.hot_groups(rows, keys, hot_rows)
-    if hot == []:
-        return one_pass(rows)
     if hot is None:
-        return _skew_safe(rows, keys, names, fixed, hot_rows)
-    hot_keys = F.broadcast(df.sparkSession.createDataFrame(hot, T.StructType([df.schema[k] for k in keys])).toDF(*[f"__{k}" for k in keys]))
-    match = stats.key_match([rows[k] for k in keys], [hot_keys[f"__{k}"] for k in keys])
-    cold = one_pass(rows.join(hot_keys, match, "left_anti"))
-    large = _skew_safe(rows.join(hot_keys, match, "left_semi"), keys, names, fixed, hot_rows)
+        return one_pass(rows)
+    cold = one_pass(stats.of_groups(rows, keys, hot, "left_anti"))
+    large = _skew_safe(stats.of_groups(rows, keys, hot, "left_semi"), keys, names, fixed, hot_rows)
     return cold.unionByName(large)
 
 

@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
+from tableloom.functions.stats import HOT_ROWS
 from tableloom.operators.pairwise import tile_partitions
 from tableloom.operators.profile import type_class
+from tableloom.session import cut_lineage
 from tableloom.sources.catalog import joined_name
 
 JOIN_TYPES = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full"}
@@ -30,20 +32,21 @@ def join_tables(
     how: str = "inner",
     null_equal: bool = True,
     suffixes: tuple[str, str] = ("_x", "_y"),
-    salt: int = 1,
+    heavy_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join on pairs of columns; null keys match null keys unless `null_equal=False`.
 
     A pair of equal names gives one key column; other shared names get the suffixes. Spark splits
-    skewed keys at run time; `salt` > 1 spreads a key known to be hot beforehand: rows of the left
-    side are dealt over `salt` copies of the right side.
+    skewed keys of inner, left and right joins at run time. A full join cannot be split so: there, and wherever
+    `heavy_rows` is given, keys with more than so many rows on the side that is kept whole (the left one; of a right join the
+    right one; of a full join the right one if the left has none) are found by a count, their rows are dealt over parts of that size, and only their partners are copied.
     """
     pairs = [(a, b) for a, b in on if a in left.columns and b in right.columns]
     if not pairs:
         raise ValueError("no join fields present on both sides")
     how = join_type(how)
-    if salt > 1 and how == "right":
-        flipped = join_tables(right, left, [(b, a) for a, b in pairs], "left", null_equal, suffixes[::-1], salt)
+    if heavy_rows is not None and how == "right":
+        flipped = join_tables(right, left, [(b, a) for a, b in pairs], "left", null_equal, suffixes[::-1], heavy_rows)
         return flipped.select(*join_tables(left.limit(0), right.limit(0), pairs, "right", null_equal, suffixes).columns)
     same = {a for a, b in pairs if a == b}
     shared = (set(left.columns) & set(right.columns)) - same
@@ -63,21 +66,42 @@ def join_tables(
     if len(set(names)) < len(names):
         raise ValueError(f"column names clash after suffixing: {sorted({n for n in names if names.count(n) > 1})}")
     final = [c.alias(n) for n, c in out]
-    if salt <= 1:
+    if heavy_rows is None and how != "full":
         return l.join(r, match, how).select(*final)
-    dealt = l.withColumn("__salt", F.pmod(F.xxhash64(*l.columns), F.lit(salt)))
-    copies = r.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
-    joined = dealt.join(copies, (F.col("__salt") == F.col("__copy")) & match, "left" if how == "full" else how).select(*final)
+    heavy = heavy_keys(l, [lname[a] for a, _ in pairs], heavy_rows or HOT_ROWS, null_equal)
+    if heavy is None:
+        if how == "full" and heavy_keys(r, [rname[b] for _, b in pairs], heavy_rows or HOT_ROWS, null_equal) is not None:
+            return join_tables(right, left, [(b, a) for a, b in pairs], "full", null_equal, suffixes[::-1], heavy_rows or HOT_ROWS).select(*names)
+        return l.join(r, match, how).select(*final)
+    on_heavy = lambda cols: reduce(lambda x, y: x & y, [compare(F.col(c), F.col(f"__k{i}")) for i, c in enumerate(cols)])
+    keys_l, keys_r = [lname[a] for a, _ in pairs], [rname[b] for _, b in pairs]
+    kept = "inner" if how == "inner" else "left"
+    light = l.join(heavy, on_heavy(keys_l), "left_anti").join(r, match, kept)
+    # Dealt by their place and not by what they hold, so that equal rows part as well; written, so that they stay where they are.
+    dealt = l.join(heavy, on_heavy(keys_l)).withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.col("__parts"))).select(*l.columns, "__part")
+    copies = r.join(heavy, on_heavy(keys_r)).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__parts") - 1))).select(*r.columns, "__copy")
+    spread = cut_lineage(dealt).join(copies, (F.col("__part") == F.col("__copy")) & match, kept)
+    joined = light.select(*final).unionByName(spread.select(*final))
     if how != "full":
         return joined
     # The unmatched right rows: an anti join keeps the right side as it is and only needs distinct left keys.
-    keys = l.select(*[F.col(lname[a]).alias(f"k_{i}") for i, (a, _) in enumerate(pairs)]).distinct()
-    found = reduce(lambda x, y: x & y, [compare(F.col(rname[b]), F.col(f"k_{i}")) for i, (_, b) in enumerate(pairs)])
-    lonely = r.join(keys, found, "left_anti")
+    known = l.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys_l)]).distinct()
+    lonely = r.join(known, on_heavy(keys_r), "left_anti")
     blanks = {lname[c]: F.lit(None).cast(left.schema[c].dataType) for c in left.columns}
     return joined.unionByName(lonely.withColumns(blanks).select(*final))
 
 
+def heavy_keys(df: DataFrame, cols: Sequence[str], heavy_rows: int, null_equal: bool = True) -> DataFrame | None:
+    """A written table (__k0, ..., __parts) of the keys with more than `heavy_rows` rows and the parts to deal them over; None if there is none.
+
+    The count combines before it moves, and there are no more such keys than rows / `heavy_rows`.
+    """
+    rows = df if null_equal else df.dropna(subset=list(cols))
+    counts = rows.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(cols)]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_rows)
+    found = cut_lineage(counts.withColumn("__parts", F.ceil(F.col("n") / heavy_rows)).drop("n"))
+    return None if found.isEmpty() else found
+
+
 @dataclass(frozen=True)
 class JoinStep:
     left: str

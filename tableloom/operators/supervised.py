@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from tableloom.functions.scalars import to_number
 from tableloom.operators.features import class_weights
+from tableloom.operators.numbering import running_sums
 
 REGRESSORS = {
     "gbt": lambda seed: GBTRegressor(maxIter=20, maxDepth=4, seed=seed),
@@ -141,25 +142,17 @@ def classification_metrics(df: DataFrame, y: str, predicted: str) -> DataFrame:
     )
 
 
-def auc(df: DataFrame, y: str, score_col: str, buckets: int = 64) -> DataFrame:
+def auc(df: DataFrame, y: str, score_col: str) -> DataFrame:
     """Exact ROC AUC as one row (`auc`): the chance that a positive outranks a negative, ties count half.
 
-    Rows are first counted per distinct score. Score ranges of about equal size then supply the
-    number of negatives below, so no window ever runs over all scores.
+    Rows are first counted per distinct score; the negatives below each come from sums over ranges of scores.
     """
     counts = (
         df.where(F.col(y).isNotNull() & F.col(score_col).isNotNull()).groupBy(F.col(score_col).cast("double").alias("s"))
         .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
     )
-    # A short list of cut points; any cuts give the same answer, even ones only even out the work.
-    cuts = df.agg(F.percentile_approx(F.col(score_col).cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    placed = Bucketizer(splits=edges, inputCol="s", outputCol="b").transform(counts)
-    below = Window.partitionBy(F.lit(0)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    offsets = placed.groupBy("b").agg(F.sum("neg").alias("n")).select("b", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("start"))
-    within = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("before", F.coalesce(F.sum("neg").over(within), F.lit(0))).join(F.broadcast(offsets), "b")
-    wins = F.sum(F.col("pos") * (F.col("start") + F.col("before") + F.col("neg") / 2.0))
+    ranked = running_sums(counts, ["s"], {"below": F.col("neg")})
+    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
     return ranked.agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 

@@ -55,7 +55,7 @@ def join_full(spark, sf):
 def join_salted(spark, sf):
     return joins.join_tables(
         table(spark, sf, "lineitem").select("l_partkey", "l_extendedprice"), table(spark, sf, "part").select("p_partkey", "p_brand"),
-        [("l_partkey", "p_partkey")], "full", salt=4)
+        [("l_partkey", "p_partkey")], "full", heavy_rows=30)
 
 
 @query("join_collision", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tableloom.functions.scalars import money_sum, rounded
-from tableloom.operators import cluster, features, pairwise, recommend
+from tableloom.operators import cluster, features, pairwise, recommend, sparse
 from tableloom.plans.base import query, r, round_all, table
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -102,6 +102,30 @@ def similar_items(spark, sf):
     return round_all(recommend.similar_entities(item_vectors(spark, sf), BALANCED), 6, "similarity")
 
 
+@query("similar_by_words", f"""
+    with w as (select distinct doc_id as id, unnest(string_split(text, ' ')) as word from documents where text is not null),
+    n as (select id, count(*)::double as n from w group by 1),
+    sims as (select a.id, b.id as other, {r('count(*) / sqrt(any_value(x.n) * any_value(y.n))', 12)} as similarity
+             from w a join w b on a.word = b.word and a.id <> b.id join n x on x.id = a.id join n y on y.id = b.id group by 1, 2),
+    top as (select id, other, similarity, row_number() over (partition by id order by similarity desc, other)::int as rank from sims where similarity >= 0.8 qualify rank <= 5)
+    select id, other, {r('similarity', 6)} as similarity, rank from top""")
+def similar_by_words(spark, sf):
+    """Every word is a category, whatever their number: documents with the most words in common."""
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("word")).distinct()
+    entries, _ = sparse.entity_entries(words, "doc_id", ["word"])
+    return round_all(sparse.similar_by_categories(entries, 5, 0.8), 6, "similarity")
+
+
+@query("user_entries", f"""
+    with {USERS_SQL}, cells as (select id, unnest([{', '.join(f'{{index: {i}::bigint, value: v{i}}}' for i in range(6))}]) as x from uv)
+    select id, x.index as "index", {r('x.value', 6)} as value from cells where x.value <> 0""")
+def user_entries(spark, sf):
+    open_low = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW")
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", F.when(~open_low, F.col("o_totalprice")).alias("price"))
+    entries, _ = sparse.entity_entries(orders, "o_custkey", ["price", "o_orderpriority"], {"price": 1.0, "o_orderpriority": 0.5})
+    return round_all(entries, 6, "value")
+
+
 @query("similarity_stats", f"""
     with {USERS_SQL}, {_sims('uv', 6)}, n as (select count(*)::double as n from uv), s as (select similarity, {r('similarity', 6)} as step from sims)
     select (select n from n)::bigint as n_entities, {r('avg(similarity)', 5)} as mean_similarity, max(step) as max_similarity,

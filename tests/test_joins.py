@@ -36,14 +36,35 @@ def test_unknown_type_is_inner():
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
-@pytest.mark.parametrize("same", [True, False])
-def test_salted_join_equals_plain_join(spark, how, same):
+@pytest.mark.parametrize("same, equal", [(True, True), (False, True), (False, False)])
+def test_dealt_join_equals_plain_join(spark, how, same, equal):
     rng = random.Random(4)
-    left = spark.createDataFrame([(None if i % 9 == 0 else (0 if i % 2 else rng.randrange(12)), i) for i in range(90)], "k int, v int")
-    right = spark.createDataFrame([(None if i % 8 == 0 else rng.randrange(3, 18), -i) for i in range(40)], f"{'k' if same else 'q'} int, v int")
+    left = spark.createDataFrame([(None if i % 9 == 0 else (0 if i % 2 else rng.randrange(12)), i % 7) for i in range(90)], "k int, v int")
+    right = spark.createDataFrame([(None if i % 8 == 0 else rng.choice([0, *range(3, 18)]), -i) for i in range(40)], f"{'k' if same else 'q'} int, v int")
     on = [("k", "k" if same else "q")]
-    plain, salted = joins.join_tables(left, right, on, how), joins.join_tables(left, right, on, how, salt=5)
-    assert plain.columns == salted.columns and rows(plain) == rows(salted)
+    plain = joins.join_tables(left, right, on, how, equal)
+    for heavy in (5, 1):
+        dealt = joins.join_tables(left, right, on, how, equal, heavy_rows=heavy)
+        assert plain.columns == dealt.columns and rows(plain) == rows(dealt)
+
+
+def test_full_join_deals_only_the_heavy_key(spark, monkeypatch):
+    # Key 7 has a third of all rows, all of them alike.
+    left = spark.createDataFrame([(7, 1)] * 60 + [(i, i) for i in range(100, 220)], "k int, v int").repartition(6)
+    right = spark.createDataFrame([(7, "a"), (7, "b"), (8, "c"), (110, "d")], "q int, w string")
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
+    seen, write = [], joins.cut_lineage
+    monkeypatch.setattr(joins, "cut_lineage", lambda df: seen.append(write(df)) or seen[-1])
+    found = joins.join_tables(left, right, [("k", "q")], "full")
+    heavy, dealt = seen
+    assert [tuple(r) for r in heavy.collect()] == [(7, 6)]
+    # Sixty equal rows in six parts, none of them with most.
+    parts = Counter(r["__part"] for r in dealt.collect())
+    assert sum(parts.values()) == 60 and len(parts) == 6 and max(parts.values()) <= 20
+    assert found.count() == 2 * 60 + 120 + 1
+    # The other way round the heavy side is on the right.
+    turned = joins.join_tables(right, left, [("q", "k")], "full")
+    assert turned.columns == ["q", "w", "k", "v"] and rows(turned) == rows(found.select("q", "w", "k", "v")) and len(seen) == 6
 
 
 def test_plan_follows_tables_into_results(spark):

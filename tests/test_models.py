@@ -52,7 +52,7 @@ def test_auc_equals_all_pairs(spark, scores):
     pos, neg = scores[y == 1], scores[y == 0]
     want = ((pos[:, None] > neg[None]).sum() + (pos[:, None] == neg[None]).sum() / 2) / (len(pos) * len(neg))
     df = spark.createDataFrame([(int(a), float(s)) for a, s in zip(y, scores)], "y int, s double")
-    assert supervised.auc(df, "y", "s", 8).first()["auc"] == pytest.approx(want)
+    assert supervised.auc(df, "y", "s").first()["auc"] == pytest.approx(want)
     assert supervised.auc(df.where("y = 1"), "y", "s").first()["auc"] is None
 
 

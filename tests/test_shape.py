@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableloom.functions import stats
-from tableloom.operators import aggregate, profile, roles, splits, target
+from tableloom.operators import numbering, aggregate, profile, roles, splits, target
 
 GROUPS = [("x", None, "b", 1), ("x", None, "a", 2), ("y", 2, None, 1), (None, 5, "z", 1)]
 
@@ -59,12 +59,29 @@ def test_group_quantiles_with_one_hot_key(spark):
             assert np.allclose(got[k], np.quantile([v for kk, v in rows if kk == k], [0.25, 0.5]))
 
 
-def test_ranked_quantiles_for_very_many_hot_groups(spark, monkeypatch):
-    monkeypatch.setattr(stats, "MAX_HOT_KEYS", 1)
-    rows = [(i % 4, float(i * i % 37)) for i in range(200)]
-    got = stats.group_quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", [0.3, 0.5], "q", hot_rows=1).collect()
+def test_quantiles_of_very_many_hot_groups(spark):
+    # Column names that the search uses itself, and a null key.
+    rows = [(None if i % 40 == 0 else i % 40, float(i * i % 37)) for i in range(400)]
+    got = stats.group_quantiles(spark.createDataFrame(rows, "n int, v double"), ["n"], "v", [0.3, 0.5], "j", hot_rows=1).collect()
+    assert len(got) == 40
     for r in got:
-        assert np.allclose(r["q"], np.quantile([v for k, v in rows if k == r["k"]], [0.3, 0.5]))
+        assert np.allclose(r["j"], np.quantile([v for k, v in rows if k == r["n"]], [0.3, 0.5]))
+
+
+def test_numbering_over_ranges(spark):
+    rows = [(i % 3 if i % 10 else None, i * 7919 % 101, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, v int, number string").repartition(5)
+    got = sorted((r["v"], r["nth"]) for r in numbering.numbered(df, ["v"], "nth").collect())
+    assert [n for _, n in got] == list(range(300))
+    by_group = {}
+    for r in numbering.running_sums(df, ["v"], {"upto": F.col("v")}, ["g"]).collect():
+        by_group.setdefault(r["g"], []).append((r["upto"], r["v"]))
+    for found in by_group.values():
+        total = 0
+        for upto, v in sorted(found):
+            assert upto == total
+            total += v
+    assert numbering.numbered(df.limit(0), ["v"]).count() == 0
 
 
 def test_profile_and_eligibility(spark):
