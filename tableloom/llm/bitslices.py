@@ -24,18 +24,20 @@ from tableloom.session import cut_lineage
 
 BLOCK_ROWS = 16_384
 CHUNK_QUERIES = 128
-# Quantised components are held within this range, as products beyond it leave a bigint.
-LARGEST = 1 << 40
-LONG = (1 << 63) - 1
+# Quantised components beyond this are no whole numbers of 64 bits; their vectors take no part.
+LARGEST = 1 << 62
+# Scores are ranked as bytes that sort like the whole numbers, of whatever size; so many bits hold any of them.
+SCORE_BYTES = 20
+LONG = 1 << 63
 
 
 def quantised(vector: Column, scale: int) -> Column:
     """floor(scale * x) per component."""
-    return F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(-float(LARGEST))), F.lit(float(LARGEST)))))
+    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
 
 
-def usable(vector: Column) -> Column:
-    return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+def usable(vector: Column, scale: int) -> Column:
+    return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * scale) >= float(LARGEST)))
 
 
 def _matrix(rows: list, width: int) -> np.ndarray:
@@ -164,12 +166,12 @@ def search_block(low, bits, slices, ids: np.ndarray, own: np.ndarray, queries: n
             if s is not None:
                 bit = (s[best >> 6] >> (best & 63).astype(np.uint64)) & np.uint64(1)
                 score = [x + (int(b) << w) for x, b in zip(score, bit)]
-        yield i, best, [max(-LONG, min(LONG, x)) for x in score]
+        yield i, best, score
 
 
 def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, int]:
     """The usable rows (own, id, v), the index with a row per block, and the number of blocks. Both lie in the shared folder."""
-    rows = df.where(usable(col(vector_col)) & col(id_col).isNotNull()).select(
+    rows = df.where(usable(col(vector_col), scale) & col(id_col).isNotNull()).select(
         F.monotonically_increasing_id().alias("own"), col(id_col).cast("bigint").alias("id"), quantised(col(vector_col), scale).alias("v"))
     rows = cut_lineage(rows)
     blocks = max(1, -(-rows.count() // block_rows))
@@ -194,7 +196,8 @@ def top_k(
     """(query_id, rank, vec_id, score): the k rows with the highest integer inner products for each row that `is_query`, an expression over `id`.
 
     Candidates are all rows but the query's own; equal scores go by the smaller id. Rows without id and vectors that
-    are null or hold null or non-finite components take no part; of vectors of unequal length, missing components
+    are null or hold null, non-finite or (scaled) components of 2^62 and more take no part; a score beyond a bigint is
+    ranked in full and given as null; of vectors of unequal length, missing components
     count as 0. Repeated rows are candidates, and queries, each by itself. An empty table gives none.
     """
     rows, index, blocks = build_index(df, id_col, vector_col, scale, block_rows)
@@ -218,11 +221,12 @@ def top_k(
                 # Components that a block lacks are 0 in all its rows.
                 vectors = [q["v"][:len(low)] for q in queries]
                 for i, best, scores in search_block(low, bits, slices, ids, owns, vectors, own_of, k):
-                    out += [(queries[i]["own"], queries[i]["id"], int(ids[r]), s, int(owns[r])) for r, s in zip(best, scores)]
+                    out += [(queries[i]["own"], queries[i]["id"], int(ids[r]), s if -LONG <= s < LONG else None, int(owns[r]), (s + (1 << 8 * SCORE_BYTES - 1)).to_bytes(SCORE_BYTES)) for r, s in zip(best, scores)]
+                columns = list(zip(*out)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], ["own", "query_id", "vec_id", "score", "row"])
+                    [*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary())], ["own", "query_id", "vec_id", "score", "row", "height"])
 
     found = meetings.select("queries", "low", "bits", "slices", "ids", "owns").mapInArrow(
-        search, "own bigint, query_id bigint, vec_id bigint, score bigint, row bigint")
-    best = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "row")
+        search, "own bigint, query_id bigint, vec_id bigint, score bigint, row bigint, height binary")
+    best = Window.partitionBy("own").orderBy(F.desc("height"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

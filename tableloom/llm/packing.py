@@ -23,6 +23,8 @@ from tableloom.session import cut_lineage
 WINDOW = 2048
 GRAIN = 16
 DEPTH = 3
+# Longer runs of blanks or of other characters are left to the slower encoder, which gives the same ids.
+LONG_RUN = 4096
 END_ID = 1
 
 PIECES = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
@@ -44,6 +46,8 @@ class Encoder:
         self.fast = None
         # Letters, digits, signs and blanks on which both libraries' classes agree.
         self.plain = re.compile("[\t\n\r -~¡-ɏ‐-‧‰-⁞]*")
+        # A run of blanks, or of anything else, that the fast library's expression would have to go back over.
+        self.long_run = re.compile(r"\s{%d}|\S{%d}" % (LONG_RUN, LONG_RUN))
         if ranks:
             import base64
 
@@ -55,7 +59,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast and "<|" not in text and self.plain.fullmatch(text):
+        if self.fast and "<|" not in text and self.plain.fullmatch(text) and not self.long_run.search(text):
             return self.fast.encode_to_numpy(text).astype("<u4")
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
 

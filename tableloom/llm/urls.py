@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableloom.llm.common import col
+from tableloom.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Hex digits of a digest by which expressions and rules meet.
@@ -90,8 +91,9 @@ def judge_urls(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     made = rows.select("*", F.explode_outer(expressions).alias("e"))
     made = made.withColumn("digest", _digest(F.col("e.host"), F.col("e.path"))).withColumn("prefix", F.left("digest", F.lit(PREFIX_DIGITS)))
-    keyed = _keyed_rules(rules).select("prefix", F.col("digest").alias("r_digest"), "rule", "verdict")
-    # Rules have few rows per prefix; the expressions of a hot host are split by the skew join where rules are not broadcast.
+    # Written, so that their size is known: few rules go to all executors, and expressions do not move. Where they are many,
+    # a prefix has few of them, and the expressions of a hot host are split by the skew join.
+    keyed = cut_lineage(_keyed_rules(rules).select("prefix", F.col("digest").alias("r_digest"), "rule", "verdict"))
     met = made.join(keyed, (made["prefix"] == keyed["prefix"]) & (F.col("digest") == F.col("r_digest")), "left")
     length = F.length("rule.host") + F.length("rule.path")
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(length.alias("length"), F.length("rule.host").alias("host_length"), "rule", "verdict")))

@@ -380,3 +380,24 @@ def test_switches_are_seen(spark, docs):
     found = labeller.label(labeller.numbers([mixed]))[0].argmax(axis=1)
     want = np.repeat([labeller.model.languages.index(x) for x in ("en", "de", "es")], 40)
     assert (found == want).mean() > 0.9
+
+
+def test_scores_beyond_a_bigint_are_ranked_in_full(spark):
+    rows = [(0, [1e15, 0.0]), (1, [1e15, 1.0]), (2, [2e15, 0.0]), (3, [-2e15, 5.0]), (4, [1e300, 0.0]), (5, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = bitslices.top_k(df, F.col("id") == 0, k=5).orderBy("rank").collect()
+    # The first is the larger product; those that fit are given.
+    assert [r["vec_id"] for r in found] == [2, 1, 5, 3] and [r["score"] for r in found] == [None, None, 64 * 64 * 10**15, None]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "word " + " " * 1_000_000 + "word", "x" * 1_000_000])
+def test_long_runs_are_packed(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = packing.pieces(df, VOCABULARY, RANKS).select("start", "length", "doc_tokens").orderBy("start").collect()
+    assert sum(r["length"] for r in found) == found[0]["doc_tokens"] and found[0]["start"] == 0
+
+
+def test_fast_and_slow_encoders_agree_around_long_runs():
+    fast, slow = packing.Encoder(VOCABULARY, RANKS), packing.Encoder(VOCABULARY)
+    for text in (" " * 5000 + "x", "a" * 4095 + " b", "a" * 5000, "x" + "\n " * 3000, " " * 4095):
+        assert (fast(text) == slow(text)).all()
