@@ -13,6 +13,11 @@ NA_TOKENS = (
 )
 
 
+def named(name: str) -> Column:
+    """A column by its exact name, also where the name holds a dot."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def rounded(col: Column, digits: int) -> Column:
     """Round half up after a nudge far below the last digit, so exact ties fall the same way everywhere."""
     return F.round(col + F.lit(10.0 ** -(digits + 3)), digits)

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from tableloom.functions.scalars import named
 from tableloom.session import cut_lineage
 
 # Rows per group that one task may hold as the state of a quantile, mode or set.
@@ -158,7 +159,7 @@ def global_quantiles(
 
 def unpivot_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per cell: (column_name, value as text, null kept)."""
-    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols]
+    pairs = [F.struct(F.lit(c).alias("column_name"), named(c).cast("string").alias("value")) for c in cols]
     return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.column_name", "p.value")
 
 

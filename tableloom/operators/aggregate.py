@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from tableloom.functions import stats
+from tableloom.functions.scalars import named
 from tableloom.operators.profile import ALLOWED_METHODS, _one_row_to_long, numeric_columns, type_class
 
 
@@ -178,8 +179,8 @@ def cluster_stats(df: DataFrame, label: str, columns: Sequence[str] | None = Non
     cols = list(columns) if columns else [c for c in numeric_columns(df) if c != label][:max_numeric]
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std")]
-    sized = df.groupBy(label).agg(*aggs)
+        aggs += [F.avg(named(c)).alias(f"{c}_mean"), F.stddev_samp(named(c)).alias(f"{c}_std")]
+    sized = df.groupBy(named(label).alias(label)).agg(*aggs)
     # The window runs over one row per cluster.
     share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0)))
     return sized.withColumn("pct", share)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from tableloom.functions.scalars import nullify_tokens
+from tableloom.functions.scalars import named, nullify_tokens
 from tableloom.functions.stats import global_modes, global_quantiles, group_modes, unpivot_text
 from tableloom.operators.profile import _one_row_to_long, correlation, numeric_columns, profile
 
@@ -24,7 +24,7 @@ def fill_values(df: DataFrame, numeric: str = "median", other: str = "mode", col
     if numbers and numeric == "median":
         fills |= {c: q[0] for c, q in global_quantiles(df, numbers, [0.5]).items()}
     elif numbers and numeric == "mean":
-        fills |= df.agg(*[F.avg(c).alias(c) for c in numbers]).first().asDict()
+        fills |= dict(zip(numbers, df.agg(*[F.avg(named(c)) for c in numbers]).first()))
     elif numbers:
         raise ValueError(f"unknown strategy: {numeric}")
     if texts:
@@ -49,7 +49,7 @@ def impute(
         if v is None:
             continue
         kind = "double" if isinstance(v, float) else df.schema[c].dataType
-        changes[c] = F.coalesce(F.col(c).cast(kind), F.lit(v).cast(kind))
+        changes[c] = F.coalesce(named(c).cast(kind), F.lit(v).cast(kind))
     return df.withColumns(changes) if changes else df
 
 
@@ -63,12 +63,20 @@ def categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """0/1 column per category in sorted order, optionally without the first; a null gives all zeros."""
+    """0/1 column per category in sorted order, optionally without the first; a null gives all zeros.
+
+    For categories, of which there are few; `sparse.entity_entries` takes any number. Two values that would give columns
+    of one name are an error.
+    """
     known = known or categories(df, cols)
     new = {}
+    taken = set(df.columns) - set(cols)
     for c in cols:
         for v in known[c][1:] if drop_first else known[c]:
-            new[f"{c}_{v}"] = F.when(F.col(c).cast("string") == v, 1).otherwise(0)
+            if f"{c}_{v}" in taken:
+                raise ValueError(f"two columns would be called {c}_{v}")
+            taken.add(f"{c}_{v}")
+            new[f"{c}_{v}"] = F.when(named(c).cast("string") == v, 1).otherwise(0)
     return df.withColumns(new).drop(*cols) if new else df.drop(*cols)
 
 
@@ -76,7 +84,7 @@ def _moments(df: DataFrame, cols: Sequence[str]) -> Column:
     """Mean, population std, min and max of all columns as one scalar subquery."""
     parts = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = named(c).cast("double")
         parts.append(F.struct(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi")).alias(f"c{i}"))
     return df.agg(F.struct(*parts).alias("m")).scalar()
 
@@ -86,7 +94,7 @@ def standard_scale(df: DataFrame, cols: Sequence[str], guard: bool = False) -> D
     m = _moments(df, cols)
     changes = {}
     for i, c in enumerate(cols):
-        x, s = F.col(c).cast("double"), m[f"c{i}"]
+        x, s = named(c).cast("double"), m[f"c{i}"]
         flat = x if guard else F.when(x.isNotNull(), 0.0)
         changes[c] = F.when(s["lo"] < s["hi"], (x - s["mean"]) / s["std"]).otherwise(flat)
     return df.withColumns(changes)
@@ -108,7 +116,7 @@ def checked_importance(level: str | None) -> str:
 
 
 def weighted_features(df: DataFrame, weights: dict[str, float]) -> DataFrame:
-    return df.withColumns({f: F.col(f).cast("double") * F.lit(float(w)) for f, w in weights.items()})
+    return df.withColumns({f: named(f).cast("double") * F.lit(float(w)) for f, w in weights.items()})
 
 
 def prepared_features(df: DataFrame, features: Sequence[str], weights: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
@@ -120,7 +128,7 @@ def prepared_features(df: DataFrame, features: Sequence[str], weights: dict[str,
     numbers = [f for f in features if f in set(numeric_columns(df, boolean=True))]
     texts = [f for f in features if f not in numbers]
     # Booleans count as numbers.
-    df = df.withColumns({f: F.col(f).cast("int") for f, t in df.dtypes if f in numbers and t == "boolean"}) if numbers else df
+    df = df.withColumns({f: named(f).cast("int") for f, t in df.dtypes if f in numbers and t == "boolean"}) if numbers else df
     fills = fill_values(df, "mean", "mode", list(features))
     filled = impute(df, fills=fills)
     known = categories(filled, texts)
@@ -129,12 +137,14 @@ def prepared_features(df: DataFrame, features: Sequence[str], weights: dict[str,
     for f in features:
         w = F.lit(float(weights.get(f, 1.0)))
         if f in numbers:
-            x, s = F.col(f).cast("double"), m[f"c{numbers.index(f)}"]
+            x, s = named(f).cast("double"), m[f"c{numbers.index(f)}"]
             scaled = F.when(s["lo"] < s["hi"], (x - s["mean"]) / s["std"]).otherwise(x)
             parts[f"__{f}"] = F.coalesce(scaled, F.lit(0.0)) * w
         else:
             for v in known[f]:
-                parts[f"__{f}_{v}"] = F.when(F.col(f).cast("string") == v, w).otherwise(F.lit(0.0))
+                if f"__{f}_{v}" in parts:
+                    raise ValueError(f"two components would be called {f}_{v}")
+                parts[f"__{f}_{v}"] = F.when(named(f).cast("string") == v, w).otherwise(F.lit(0.0))
     return filled.select("*", *[e.alias(n) for n, e in parts.items()]), list(parts)
 
 
@@ -143,14 +153,14 @@ def entity_vectors(
     how: str = "mean", order_by: Sequence[str] = (),
 ) -> DataFrame:
     """(id, vec): per entity the mean of its prepared rows, or its first row in a stated order."""
-    ready, names = prepared_features(df.where(F.col(entity).isNotNull()), features, weights)
+    ready, names = prepared_features(df.where(named(entity).isNotNull()), features, weights)
     if how == "mean":
         agg = F.array(*[F.coalesce(F.avg(f"`{n}`"), F.lit(0.0)) for n in names])
     elif how == "first" and order_by:
-        agg = F.min_by(F.array(*[F.col(f"`{n}`") for n in names]), F.struct(*order_by))
+        agg = F.min_by(F.array(*[F.col(f"`{n}`") for n in names]), F.struct(*[named(o) for o in order_by]))
     else:
         raise ValueError("how must be 'mean', or 'first' with order_by")
-    return ready.groupBy(F.col(entity).alias("id")).agg(agg.alias("vec"))
+    return ready.groupBy(named(entity).alias("id")).agg(agg.alias("vec"))
 
 
 def suggest_weights(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
@@ -160,7 +170,7 @@ def suggest_weights(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """
     cols = [c for c in df.columns if c not in exclude]
     raw = _one_row_to_long(df, {c: {
-        "n_rows": F.count(F.lit(1)), "present": F.count(F.col(c)), "n_distinct": F.count_distinct(F.col(c)),
+        "n_rows": F.count(F.lit(1)), "present": F.count(named(c)), "n_distinct": F.count_distinct(named(c)),
     } for c in cols})
     share = F.coalesce(F.try_divide(F.col("present"), F.col("n_rows")), F.lit(0.0))
     variety = F.when(F.col("n_distinct") > 1, F.col("n_distinct") / (F.col("n_distinct") + 1)).otherwise(0.0)
@@ -176,14 +186,14 @@ def encode_by_cardinality(df: DataFrame, cols: Sequence[str], max_one_hot: int =
 
     The frequency table joins back by value; Spark splits the join where one value is hot.
     """
-    sizes = df.agg(*[F.count_distinct(c).alias(c) for c in cols], F.count(F.lit(1)).alias("__rows")).first()
+    sizes = df.agg(*[F.count_distinct(named(c)).alias(c) for c in cols], F.count(F.lit(1)).alias("__rows")).first()
     few = [c for c in cols if sizes[c] <= max_one_hot]
     out = one_hot(df, few) if few else df
     for c in cols:
         if c in few:
             continue
-        freq = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg((F.count(F.lit(1)) / F.lit(sizes["__rows"])).alias("__f"))
-        out = out.join(freq, F.col(c) == F.col("__v"), "left").withColumn(c, F.coalesce("__f", F.lit(0.0))).drop("__v", "__f")
+        freq = df.where(named(c).isNotNull()).groupBy(named(c).alias("__v")).agg((F.count(F.lit(1)) / F.lit(sizes["__rows"])).alias("__f"))
+        out = out.join(freq, named(c) == F.col("__v"), "left").withColumn(c, F.coalesce("__f", F.lit(0.0))).drop("__v", "__f")
     report = df.sparkSession.createDataFrame(
         [(c, "one_hot" if c in few else "frequency", sizes[c]) for c in cols],
         "column_name string, encoding_type string, cardinality bigint",
@@ -294,4 +304,4 @@ def clean_table(df: DataFrame, rules: dict[str, dict[str, object]]) -> DataFrame
 
 def noisy(df: DataFrame, cols: Sequence[str], seed: int) -> DataFrame:
     """Small seeded noise that keeps identical rows apart; off everywhere unless called."""
-    return df.withColumns({c: F.col(c) + F.lit(1e-4) + F.rand(seed + i) * F.lit(9e-4) for i, c in enumerate(cols)})
+    return df.withColumns({c: named(c) + F.lit(1e-4) + F.rand(seed + i) * F.lit(9e-4) for i, c in enumerate(cols)})

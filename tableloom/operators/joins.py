@@ -300,22 +300,50 @@ def suggest_joins(
 ) -> DataFrame:
     """Ranked join proposals: containment in either direction, key uniqueness and name similarity.
 
-    Left join when the left table's keys are not fully covered, inner join otherwise; pairs with the
-    anchor table come first.
+    The anchor table is the left one of its pairs. Left join when the left table's keys are not fully covered, inner
+    join otherwise; ranks are per pair of tables.
     """
-    measured = key_containment(tables, key_candidates(tables, roles))
+    measured = key_containment(tables, key_candidates(tables, roles)).where("common > 0")
+    # Turned where the anchor came second.
+    turn = F.col("right_table") == F.lit(anchor)
+    sides = ("table", "column", "distinct", "unique")
+    measured = measured.select(
+        *[F.when(turn, F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{a}_{c}") for a, b in (("left", "right"), ("right", "left")) for c in sides], "name_score", "common")
+    measured = measured.withColumn("containment", F.try_divide(F.col("common").cast("double"), F.col("left_distinct").cast("double")))
     back = F.try_divide(F.col("common").cast("double"), F.col("right_distinct").cast("double"))
     unique = (F.col("left_unique") | F.col("right_unique")).cast("double")
     score = 0.5 * F.greatest(F.coalesce("containment", F.lit(0.0)), F.coalesce(back, F.lit(0.0))) + 0.3 * unique + 0.2 * F.col("name_score")
-    rank = F.row_number().over(Window.partitionBy("left_table", "right_table").orderBy(F.col("score").desc(), "left_column", "right_column"))
-    anchored = F.lit(anchor).isNotNull() & ((F.col("left_table") == F.lit(anchor)) | (F.col("right_table") == F.lit(anchor)))
+    rank = F.row_number().over(Window.partitionBy("left_table", "right_table").orderBy(F.round("score", 9).desc(), "left_column", "right_column"))
     return (
-        measured.where("common > 0").withColumn("score", score).withColumn("rank", rank)
+        measured.withColumn("score", score).withColumn("rank", rank)
         .withColumn("type_of_join", F.when(F.col("containment") < 1, "left").otherwise("inner"))
-        .withColumn("with_anchor", anchored)
+        .withColumn("with_anchor", F.coalesce(F.col("left_table") == F.lit(anchor), F.lit(False)))
     )
 
 
+def suggested_steps(tables: dict[str, DataFrame], roles: dict[str, dict[str, str]] | None = None, anchor: str | None = None) -> list[JoinStep]:
+    """A join plan from the suggestions: from the anchor (without one, the first table) on, the best pair that brings in a new table.
+
+    Tables that no key connects are left out. The table that is there already is the left one.
+    """
+    anchor = anchor or next(iter(tables))
+    # One row per pair of tables.
+    found = [r.asDict() for r in suggest_joins(tables, roles, anchor).where("rank = 1").collect()]
+    inside, steps = {anchor}, []
+    while True:
+        open_ = []
+        for r in found:
+            for a, b in (("left", "right"), ("right", "left")):
+                if r[f"{a}_table"] in inside and r[f"{b}_table"] not in inside:
+                    how = "left" if r["common"] < r[f"{a}_distinct"] else "inner"
+                    open_.append((-round(r["score"], 9), r[f"{a}_table"], r[f"{b}_table"], r[f"{a}_column"], r[f"{b}_column"], how))
+        if not open_:
+            return steps
+        _, left, right, lc, rc, how = min(open_)
+        steps.append(JoinStep(left, right, ((lc, rc),), how))
+        inside.add(right)
+
+
 # --- items that occur together ---------------------------------------------------------------
 
 # Largest basket whose pairs are listed one by one; larger ones are multiplied block by block.

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from tableloom.functions.scalars import to_number
+from tableloom.functions.scalars import named, to_number
 from tableloom.functions.stats import global_quantiles, value_counts
 
 NUMERIC, TEXT, DATETIME, OTHER = "NUMERIC", "TEXT", "DATETIME", "OTHER"
@@ -169,7 +169,7 @@ def interaction_density(df: DataFrame, user: str, item: str) -> DataFrame:
 def value_distribution(df: DataFrame, col: str) -> DataFrame:
     """Rows per non-null value, most frequent first."""
     return (
-        df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value"))
+        df.where(named(col).isNotNull()).groupBy(named(col).alias("value"))
         .agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value")
     )
 
@@ -192,9 +192,9 @@ def standardise_types(
     df: DataFrame, ids: Sequence[str] = (), months: Sequence[str] = (), casts: dict[str, str] | None = None
 ) -> DataFrame:
     """Identifiers as text, dates as 'yyyy-MM', other casts as given; values that do not fit become null."""
-    changes = {c: F.col(c).cast("string") for c in ids}
-    changes |= {c: F.date_format(F.col(c).cast("date"), "yyyy-MM") for c in months}
-    changes |= {c: F.col(c).try_cast(t) for c, t in (casts or {}).items()}
+    changes = {c: named(c).cast("string") for c in ids}
+    changes |= {c: F.date_format(named(c).cast("date"), "yyyy-MM") for c in months}
+    changes |= {c: named(c).try_cast(t) for c, t in (casts or {}).items()}
     return df.withColumns(changes)
 
 

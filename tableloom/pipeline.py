@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from tableloom.functions.scalars import named
 from tableloom.operators import aggregate, cluster, features, forecast as series_models, joins, profile, recommend as similarity, roles, splits, supervised
 from tableloom.operators.joins import JoinStep
 from tableloom.operators.recommend import Settings
@@ -72,6 +73,27 @@ def modelling_table(
     return joined if target is None else cut_lineage(target(joined))
 
 
+def joined_by_suggestion(
+    tables: Mapping[str, DataFrame], known: Mapping[str, Roles] | None = None, anchor: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Suggest keys from the anchor on, measure each join, then join: the table and one row of health per step.
+
+    Columns that play the same role in two tables are candidates whatever their names. Tables that no key connects
+    to the anchor are an error, as leaving them out would change what is asked.
+    """
+    steps = joins.suggested_steps(dict(tables), {t: dict(k.columns) for t, k in (known or {}).items()}, anchor)
+    apart = set(tables) - {t for s in steps for t in (s.left, s.right)}
+    if apart and len(tables) > 1:
+        raise ValueError(f"no key leads to {sorted(apart)}")
+    if not steps:
+        raise ValueError("one table needs no join")
+    measured = [
+        joins.join_health(tables[s.left], tables[s.right], s.on).select(
+            F.lit(i + 1).alias("seq"), F.lit(s.left).alias("left_table"), F.lit(s.right).alias("right_table"), F.lit(s.how).alias("type_of_join"), "*")
+        for i, s in enumerate(steps)]
+    return joins.run_join_plan(dict(tables), steps), cut_lineage(reduce(DataFrame.unionByName, measured))
+
+
 @dataclass(frozen=True)
 class Prepared:
     """Rows with `split`, filled and encoded by what the training part holds, and the names of the inputs."""
@@ -91,14 +113,14 @@ def prepared(
     texts = [c for c, k in kinds.items() if k == "string" and c not in left_out]
     inputs = [c for c in parted.columns if c not in left_out and (c in texts or c in profile.numeric_columns(parted, boolean=True))]
     filled = features.impute(parted, fills=features.fill_values(train, columns=inputs)) if inputs else parted
-    sizes = train.agg(*[F.count_distinct(F.col(f"`{c}`")) for c in texts]).first() if texts else ()
+    sizes = train.agg(*[F.count_distinct(named(c)) for c in texts]).first() if texts else ()
     few = [c for c, n in zip(texts, sizes) if n <= max_one_hot]
     rows = features.one_hot(filled, few, known=features.categories(train, few)) if few else filled
     total = train.agg(F.count(F.lit(1))).scalar()
     for c in set(texts) - set(few):
         # The share of training rows with the same value; a value unseen there has none.
-        share = train.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-        rows = rows.join(share, F.col(f"`{c}`") == F.col("__v"), "left").withColumn(c, F.coalesce(F.col("__n") / total, F.lit(0.0))).drop("__v", "__n")
+        share = train.where(named(c).isNotNull()).groupBy(named(c).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+        rows = rows.join(share, named(c) == F.col("__v"), "left").withColumn(c, F.coalesce(F.col("__n") / total, F.lit(0.0))).drop("__v", "__n")
     rows = cut_lineage(rows)
     return Prepared(rows, features.training_features(rows, [x for x in left_out if x]))
 
@@ -159,7 +181,7 @@ def clusters(table: DataFrame, id: str, inputs: Sequence[str], eps: float | None
 
     The silhouette that decides is Spark's, on squared distances, whose cost grows with the rows alone.
     """
-    rows = cut_lineage(table.select(id, *inputs))
+    rows = cut_lineage(table.select(named(id), *map(named, inputs)))
     ready = cut_lineage(features.standard_scale(features.impute(rows, columns=list(inputs)), list(inputs), guard=True))
     tried = cluster.kmeans_choose_k(ready, id, inputs)
     k = tried.where("chosen").first()["k"]

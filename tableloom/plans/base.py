@@ -63,3 +63,20 @@ def day(col: str | Column) -> Column:
 
 def sql_day(expr: str) -> str:
     return f"strftime({expr}, '%Y-%m-%d')"
+
+
+# --- facts about the columns of a table, for SQL that must not name them ---
+
+_KINDS = "case when t similar to '(TINYINT|SMALLINT|INTEGER|BIGINT|HUGEINT|FLOAT|DOUBLE|DECIMAL.*)' then 'NUMERIC' when t = 'VARCHAR' then 'TEXT' when t = 'DATE' or t like 'TIMESTAMP%' then 'DATETIME' else 'OTHER' end"
+
+
+def sql_columns(*names: str) -> str:
+    """SQL: (table_name, place, column_name, t, kind) for every column of the named tables; `place` counts the tables."""
+    parts = " union all ".join(f"select '{n}' as table_name, {i} as place, column_name, column_type as t from (describe {n})" for i, n in enumerate(names))
+    return f"(select *, {_KINDS} as kind from ({parts}))"
+
+
+def sql_cells(*names: str, where: str = "true") -> str:
+    """SQL: (table_name, column_name, value text) for every non-null cell of the named tables."""
+    return "(" + " union all ".join(
+        f"select '{n}' as table_name, column_name, value from (unpivot (select columns(*)::varchar from {n} where {where}) on columns(*) into name column_name value value)" for n in names) + ")"

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tableloom.functions.scalars import rounded
 from tableloom.operators import joins
 from tableloom.operators.joins import JoinStep
-from tableloom.plans.base import query, r, round_all, table, tables
+from tableloom.plans.base import query, r, round_all, sql_cells, sql_columns, table, tables
 
 # Customers in debt have no nation here and nations of region 0 no key: null keys on both sides.
 _NULLS_SQL = """c as (select c_custkey, case when c_acctbal >= 0 then c_nationkey end as c_nationkey from customer),
@@ -129,9 +129,32 @@ def suggest_join_keys(spark, sf):
     return round_all(joins.key_containment(found, joins.key_candidates(found)), 6, "containment")
 
 
-@query("suggest_joins")
+_JOIN_TABLES = ("orders", "lineitem", "customer", "part", "supplier")
+# Name tokens without a table prefix; pairs of columns of one kind with similar names; their values counted; the anchor turned to the left.
+_SUGGESTED_SQL = f"""
+    c as (select *, list_filter(string_split(lower(column_name), '_'), lambda x: x <> '') as w from {sql_columns(*_JOIN_TABLES)}),
+    n as (select table_name, place, column_name, kind, t, list_distinct(case when len(w) > 1 and length(w[1]) <= 2 then w[2:] else w end) as w from c),
+    pairs as (select a.table_name as lt, a.column_name as lc, b.table_name as rt, b.column_name as rc,
+                len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double as name_score
+              from n a join n b on a.place < b.place and a.kind = b.kind and a.t not in ('FLOAT', 'DOUBLE') and b.t not in ('FLOAT', 'DOUBLE')),
+    p as (select * from pairs where name_score >= 0.5),
+    v as (select table_name, column_name, value, count(*) as n from {sql_cells(*_JOIN_TABLES)} group by 1, 2, 3),
+    d as (select table_name, column_name, count(*) as d, bool_and(n = 1) as u from v group by 1, 2),
+    m as (select p.*, (select count(*) from v a join v b on a.table_name = p.lt and a.column_name = p.lc and b.table_name = p.rt and b.column_name = p.rc and a.value = b.value) as common from p),
+    k as (select m.*, dl.d as ld, dl.u as lu, dr.d as rd, dr.u as ru from m join d dl on dl.table_name = lt and dl.column_name = lc join d dr on dr.table_name = rt and dr.column_name = rc where common > 0),
+    turned as (select lt as left_table, lc as left_column, rt as right_table, rc as right_column, ld as left_distinct, rd as right_distinct, lu as left_unique, ru as right_unique, name_score, common from k where rt <> 'customer'
+      union all select rt, rc, lt, lc, rd, ld, ru, lu, name_score, common from k where rt = 'customer'),
+    scored as (select *, common / left_distinct::double as containment,
+      0.5::double * greatest(common / left_distinct::double, common / right_distinct::double) + 0.3::double * (left_unique or right_unique)::int + 0.2::double * name_score as score from turned)"""
+
+
+@query("suggest_joins", f"""
+    with {_SUGGESTED_SQL} select left_table, left_column, right_table, right_column, left_distinct, right_distinct, left_unique, right_unique, {r('name_score', 6)} as name_score, common,
+      {r('containment', 6)} as containment, {r('score', 6)} as score,
+      (row_number() over (partition by left_table, right_table order by round(score, 9) desc, left_column, right_column))::int as rank,
+      case when containment < 1 then 'left' else 'inner' end as type_of_join, left_table = 'customer' as with_anchor from scored""")
 def suggest_joins(spark, sf):
-    return joins.suggest_joins(tables(spark, sf, "orders", "lineitem", "customer", "part", "supplier"), anchor="customer")
+    return round_all(joins.suggest_joins(tables(spark, sf, *_JOIN_TABLES), anchor="customer"), 6)
 
 
 @query("join_health", f"""

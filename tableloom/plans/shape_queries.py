@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tableloom.functions.scalars import money_sum, rounded
 from tableloom.operators import aggregate as agg, joins, roles, supervised, target
-from tableloom.plans.base import day, money, query, r, round_all, sql_day, table, tables
+from tableloom.plans.base import day, money, query, r, round_all, sql_cells, sql_columns, sql_day, table, tables
 
 # --- roles ---
 
@@ -27,11 +27,53 @@ def _event_mapping(spark, sf) -> DataFrame:
         role.alias("role"), F.when(F.col("top") > 120, F.concat(F.lit("col_"), F.col("n").cast("string"))).alias("column_name"))
 
 
-@query("suggest_roles")
+_ROLE_CASES = (("orders", "classification"), ("lineitem", "recommendation"), ("events", "recommendation"))
+
+
+def _roles_sql() -> str:
+    """Scores of all roles and columns; then every way to give roles columns, of which the best sum is kept."""
+    named, needed = [], []
+    for t, problem in _ROLE_CASES:
+        needs = roles.requirements(problem, final=True)
+        for role in roles.ROLE_NAMES:
+            if role in needs["mandatory"] + needs["optional"] or role in ("target", "id"):
+                needed.append(f"('{t}', '{problem}', '{role}', {str(role in needs['mandatory']).lower()})")
+    for role, names in roles.ROLE_NAMES.items():
+        named += [f"('{role}', '{n}', '{k}')" for n in names for k in roles.ROLE_TYPES[role]]
+    tables_ = [t for t, _ in _ROLE_CASES]
+    counts = " union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in tables_)
+    return f"""with recursive
+    need(table_name, problem, role, mandatory) as (values {', '.join(needed)}),
+    known(role, name, kind) as (values {', '.join(named)}),
+    size as ({counts}),
+    facts as (select table_name, column_name, count(*) as present, count(distinct value) as n_distinct from {sql_cells(*tables_)} group by 1, 2),
+    cols as (select table_name, column_name, kind, n_distinct, n_rows, present < n_rows as has_nulls,
+        case when regexp_matches(lower(column_name), '^[a-z]{{1,2}}_.{{3,}}') then regexp_replace(lower(column_name), '^[a-z]{{1,2}}_', '') else lower(column_name) end as plain
+      from {sql_columns(*tables_)} join facts using (table_name, column_name) join size using (table_name)),
+    close as (select c.table_name, problem, c.column_name, need.role, mandatory, max(1 - levenshtein(plain, name) / greatest(length(plain), length(name))::double) as closeness,
+        any_value(n_distinct / n_rows::double) as share, any_value(has_nulls) as has_nulls
+      from cols c join need on need.table_name = c.table_name join known on known.role = need.role and known.kind = c.kind group by all),
+    scored as (select *, 0.6::double * closeness + 0.3::double + 0.1::double * case when role in ('id', 'product_id') then least(share * 10, 1.0::double) else 0.5::double end
+        - case when has_nulls and mandatory then 0.2::double else 0.0::double end as score from close),
+    fit as (select *, score - 1e-9 * dense_rank() over (partition by table_name order by column_name) as worth from scored where score >= 0.6),
+    nth as (select table_name, problem, role, row_number() over (partition by table_name order by role) as k from (select distinct table_name, problem, role from fit)),
+    way(table_name, k, used, picks, total) as (
+      select distinct table_name, 0::bigint, []::varchar[], []::varchar[], 0.0::double from fit
+      union all
+      select w.table_name, w.k + 1, case when f.column_name is null then used else list_append(used, f.column_name) end,
+        case when f.column_name is null then picks else list_append(picks, f.role || '=' || f.column_name) end, total + coalesce(f.worth, 0)
+      from way w join nth n on n.table_name = w.table_name and n.k = w.k + 1
+        join (select table_name, role, column_name, worth from fit union all select table_name, role, null, null from nth) f
+          on f.table_name = n.table_name and f.role = n.role and (f.column_name is null or not list_contains(w.used, f.column_name))),
+    best as (select table_name, arg_max(picks, (k, total)) as picks from way group by 1)
+    select table_name, problem, role, column_name, mandatory, round(score, 4) as score from fit join best using (table_name) where list_contains(picks, role || '=' || column_name)"""
+
+
+@query("suggest_roles", _roles_sql())
 def suggest_roles(spark, sf):
     parts = [
         roles.suggest_roles(table(spark, sf, t), p).select(F.lit(t).alias("table_name"), F.lit(p).alias("problem"), "*")
-        for t, p in (("orders", "classification"), ("lineitem", "recommendation"), ("events", "recommendation"))
+        for t, p in _ROLE_CASES
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -60,7 +102,17 @@ def apply_roles(spark, sf):
     return roles.apply_roles(table(spark, sf, "orders"), ORDER_ROLES).withColumn("timestamp", day("timestamp"))
 
 
-@query("categorise_tables")
+_WORDS_SQL = ", ".join(f"('{kind}', {i}, '{word}')" for i, (kind, words) in enumerate(roles.TABLE_WORDS.items()) for word in words)
+
+
+@query("categorise_tables", f"""
+    with w(kind, place, word) as (values {_WORDS_SQL}),
+    seen as (select distinct table_name, column_name from {sql_cells('orders', 'lineitem', 'events', 'conversations')}),
+    words as (select table_name, unnest(string_split(lower(column_name), '_')) as word from seen
+              union all select t, unnest(string_split_regex(lower(t), '[_.-]')) from (values ('orders'), ('lineitem'), ('events'), ('conversations')) x(t)),
+    hits as (select table_name, kind, any_value(place) as place, count(*) as hits from words join w using (word) group by 1, 2)
+    select t as table_name, coalesce(arg_max(kind, (hits, -place)), 'unknown') as category, coalesce(max(hits), 0) as hits
+    from (values ('orders'), ('lineitem'), ('events'), ('conversations')) x(t) left join hits on table_name = t group by 1""")
 def categorise_tables(spark, sf):
     return roles.categorise_tables(tables(spark, sf, "orders", "lineitem", "events", "conversations"))
 
@@ -211,7 +263,20 @@ def agg_multi(spark, sf):
     return out.withColumn("l_shipdate_max", day("l_shipdate_max"))
 
 
-@query("suggest_aggs")
+@query("suggest_aggs", f"""
+    with c as (select column_name, kind from {sql_columns('lineitem')} where column_name not in ('l_orderkey', 'l_linenumber')),
+    v as (select column_name, value::double as x from {sql_cells('lineitem')} where column_name in (select column_name from c where kind = 'NUMERIC')),
+    m as (select column_name, avg(x) as mean, stddev_samp(x) as std, var_pop(x) as var, min(x) as low from v group by 1),
+    s as (select column_name, any_value(mean) as mean, any_value(std) as std, any_value(low) as low, avg((x - mean) ** 3) / any_value(var) ** 1.5 as skew from v join m using (column_name) group by 1),
+    f as (select column_name, kind, skew, low, abs(std / nullif(mean, 0)) > 0.5 as wide from c left join s using (column_name)),
+    rules as (
+      select column_name, unnest(['Unique Count', 'Mode', 'Last Value']) as method, unnest(['text: how many different values', 'text: the usual value', 'text: the latest value']) as explanation from f where kind = 'TEXT'
+      union all select column_name, case when abs(skew) <= 1 then 'Mean' else 'Median' end, case when abs(skew) <= 1 then 'number, little skew' else 'number, skewed' end from f where kind = 'NUMERIC' and skew is not null
+      union all select column_name, unnest(['Min', 'Max']), 'number, wide range' from f where kind = 'NUMERIC' and wide
+      union all select column_name, 'Sum', 'number, never negative, adds up' from f where kind = 'NUMERIC' and low >= 0
+      union all select column_name, unnest(['Max', 'Min']), unnest(['date: latest', 'date: first']) from f where kind = 'DATETIME'
+      union all select column_name, 'Last Value', 'other type: the latest value' from f where kind = 'OTHER')
+    select * from rules""")
 def suggest_aggs(spark, sf):
     return agg.suggest_aggs(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 

@@ -292,3 +292,12 @@ def silhouette(spark, sf):
     select c_mktsegment, count(*) as n, {r('var_pop(c_acctbal) * count(*) + var_pop(c_nationkey) * count(*)', 2)} as wcss from customer group by 1""")
 def wcss(spark, sf):
     return round_all(cluster.wcss(table(spark, sf, "customer"), "c_mktsegment", ["c_acctbal", "c_nationkey"]), 2)
+
+
+@query("cluster_insights", f"""
+    with s as (select label, count(*) as n from embeddings group by 1), t as (select sum(n)::double as total from s)
+    select count(*) as n_clusters, sum(n)::bigint as n_clustered, 0::bigint as n_noise, arg_max(label, (n, -label)) as largest, max(n) as largest_rows,
+      {r('max(n) * 100.0::double / (select total from t)', 6)} as largest_pct, arg_min(label, (n, label)) as smallest, min(n) as smallest_rows,
+      {r('min(n) * 100.0::double / (select total from t)', 6)} as smallest_pct from s""")
+def cluster_insights(spark, sf):
+    return round_all(cluster.cluster_insights(table(spark, sf, "embeddings"), "label"), 6)
