@@ -7,9 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tableloom.functions.scalars import month_index, to_number
+from tableloom.functions.scalars import month_index, named, to_number
+from tableloom.session import cut_lineage
 
 MAX_HORIZON, DEFAULT_HORIZON = 6, 3
 
@@ -120,11 +123,13 @@ def forecast_ar(
         held = inputs[-1]
         coef = None
         if len(rows) > len(lags) + len(exog):
-            design = np.array([[1.0, *[values[i - k] for k in lags], *inputs[i]] for i in rows])
-            coef = np.linalg.lstsq(design, values[rows], rcond=None)[0]
+            # Centred, so that large values leave the digits of small effects.
+            design = np.array([[*[values[i - k] for k in lags], *inputs[i]] for i in rows])
+            middle, level = design.mean(axis=0), values[rows].mean()
+            coef = np.linalg.lstsq(design - middle, values[rows] - level, rcond=None)[0]
         out = []
         for _ in range(steps):
-            nxt = float(np.nanmean(values)) if coef is None else float(np.dot(coef, [1.0, *[history[-k] for k in lags], *held]))
+            nxt = float(np.nanmean(values)) if coef is None else float(level + np.dot(coef, np.array([*[history[-k] for k in lags], *held]) - middle))
             history.append(nxt)
             out.append(nxt)
         result = pd.DataFrame({"step": range(1, steps + 1), "t": int(pdf["t"].iloc[-1]) + np.arange(1, steps + 1), "p": out})
@@ -136,3 +141,61 @@ def forecast_ar(
         T.StructField("step", T.IntegerType()), T.StructField("t", T.LongType()), T.StructField("p", T.DoubleType())])
     done = series.select(*by, "t", y, *exog).groupBy(*by).applyInPandas(fit, schema)
     return done.select(*by, "step", month_of(F.col("t")).alias("date"), F.col("p").alias(f"Predicted {y}"))
+
+
+def forecast_trees(
+    series: DataFrame, y: str, by: Sequence[str], lags: Sequence[int] = (1, 2, 3, 12), periods: object = None, max_iter: int = 20, max_depth: int = 4, seed: int = 42,
+) -> DataFrame:
+    """One boosted-tree model of all series on earlier values, carried forward month by month; as `forecast_ar` in shape.
+
+    The model learns how a month differs from the month before, which lets a series leave the range that it was learned on.
+    Inputs are those differences at the calendar lags and the month of the year. A month that is missing, or that no
+    series reaches back to, teaches nothing; where a forecast needs it, the latest known difference of the series, else 0, stands for it. Where
+    no month teaches anything, the last value is repeated. Every month ahead is one job over all series.
+    """
+    by, steps = list(by), horizon(periods)
+    if not by:
+        return forecast_trees(series.withColumn("__all", F.lit(0)), y, ["__all"], lags, periods, max_iter, max_depth, seed).drop("__all")
+    inputs = [*[f"d_lag{k}" for k in lags], "moy"]
+    known = cut_lineage(series.where(named(y).isNotNull()).select(*by, "t", named(y).cast("double").alias("v")))
+    steps_known = cut_lineage(_differences(known, by))
+
+    def described(rows: DataFrame) -> DataFrame:
+        return lag_features(rows, "d", lags, by).withColumn("moy", F.col("t") % 12)
+
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+    lessons = described(steps_known).dropna(subset=["d", *inputs])
+    lessons = cut_lineage(lessons.select("d", *inputs))
+    model = None if lessons.isEmpty() else GBTRegressor(labelCol="d", featuresCol="features", maxIter=max_iter, maxDepth=max_depth, seed=seed).fit(assembler.transform(lessons))
+    last = known.groupBy(*by).agg(F.max("t").alias("t"), F.max_by("v", "t").alias("v"))
+    latest = steps_known.groupBy(*by).agg(F.max_by("d", "t").alias("usual"))
+    now = cut_lineage(last.join(latest, by, "left").withColumn("usual", F.coalesce("usual", F.lit(0.0))))
+    history, ahead = steps_known, []
+    for step in range(1, steps + 1):
+        # The month to come, of all series at once; what it looks back to are values and what was predicted before.
+        coming = now.select(*by, (F.col("t") + 1).alias("t"), "v", "usual")
+        if model is None:
+            now = coming
+        else:
+            asked = coming.select(*by, "t", F.lit(None).cast("double").alias("d"))
+            seen = history.join(coming.select(*by, F.col("t").alias("__to")), by).where(F.col("t") >= F.col("__to") - max(lags)).drop("__to")
+            ready = described(seen.unionByName(asked)).where("d is null").drop("d").join(coming.select(*by, "v", "usual"), by)
+            ready = ready.withColumns({c: F.coalesce(c, "usual") for c in inputs[:-1]})
+            found = cut_lineage(model.transform(assembler.transform(ready)).select(*by, "t", F.col("prediction").alias("d"), "v", "usual"))
+            history = history.unionByName(found.select(*by, "t", "d"))
+            now = found.select(*by, "t", (F.col("v") + F.col("d")).alias("v"), "usual")
+        ahead.append(now.select(*by, F.lit(step).alias("step"), month_of(F.col("t")).alias("date"), F.col("v").alias(f"Predicted {y}")))
+    return reduce(DataFrame.unionByName, ahead)
+
+
+def _differences(known: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, t, d): the change of every month from the month before, where both are known."""
+    return lag_features(known, "v", [1], by).where("v_lag1 is not null").select(*by, "t", (F.col("v") - F.col("v_lag1")).alias("d"))
+
+
+def forecast_table(forecasts: DataFrame, y: str, by: Sequence[str], model: str) -> DataFrame:
+    """One row per series: the model, the first and the last month ahead, their number, and the sum and mean of what is predicted."""
+    p = named(f"Predicted {y}")
+    return forecasts.groupBy(*by).agg(
+        F.lit(model).alias("model"), F.min("date").alias("period_from"), F.max("date").alias("period_to"), F.count(p).alias("periods"),
+        F.sum(p).alias("total"), F.avg(p).alias("mean"))

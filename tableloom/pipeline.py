@@ -162,18 +162,23 @@ def regress(
 
 
 def forecast(series: DataFrame, y: str, by: Sequence[str], held_back: int = 3, periods: object = None) -> Result:
-    """Hold back the last months, rank the forecasters on them, then forecast with the better one; `series` has a row per month `t`."""
+    """Hold back the last months, rank the forecasters on them, then forecast with the best one; `series` has a row per month `t`.
+
+    The notes hold the table of the forecast: its period and sums per series.
+    """
     series = cut_lineage(series)
     known = series.where(F.col("t") <= series.agg(F.max("t")).scalar() - held_back)
     actual = series.select(*by, series_models.month_of(F.col("t")).alias("date"), y)
     makers = {
         "trend_season": lambda s: series_models.forecast_trend_season(s, y, list(by), periods),
-        "autoregressive": lambda s: series_models.forecast_ar(s, y, list(by), periods=periods)}
+        "autoregressive": lambda s: series_models.forecast_ar(s, y, list(by), periods=periods),
+        "trees": lambda s: series_models.forecast_trees(s, y, list(by), periods=periods)}
     measured = reduce(DataFrame.unionByName, [
         supervised.forecast_metrics(make(known).join(actual, [*by, "date"]), y, f"Predicted {y}").select(F.lit(n).alias("model"), "*") for n, make in makers.items()])
     metrics = cut_lineage(measured)
     best = supervised.rank_models(metrics, "forecast").where("recommended").first()["model"]
-    return Result(best, metrics, makers[best](series))
+    rows = cut_lineage(makers[best](series))
+    return Result(best, metrics, rows, {"table": series_models.forecast_table(rows, y, list(by), best)})
 
 
 def clusters(table: DataFrame, id: str, inputs: Sequence[str], eps: float | None = None, min_samples: int | None = None) -> Result:

@@ -159,6 +159,31 @@ def forecast_trend_season(spark, sf):
     return round_all(out, 2).withColumn("date", day("date"))
 
 
-@query("forecast_ar")
+_TREND_SQL = f"""{_SERIES_SQL}, f as (select nation, regr_slope(revenue, (t - 23640)::double) as b, regr_intercept(revenue, (t - 23640)::double) as a, max(t) as last from m group by 1),
+    s as (select m.nation, t % 12 as moy, avg(revenue - (a + b * (t - 23640))) as season from m join f using (nation) group by 1, 2),
+    g as (select nation, a, b, i::int as step, last + i as t from f, range(1, 4) x(i)),
+    p as (select g.nation, last_day(make_date(((t - 1) // 12)::int, ((t - 1) % 12 + 1)::int, 1)) as date, a + b * (t - 23640) + coalesce(season, 0) as p from g left join s on s.nation = g.nation and s.moy = g.t % 12)"""
+
+
+@query("forecast_table", f"""
+    with {_TREND_SQL} select nation, 'trend_season' as model, strftime(min(date), '%Y-%m-%d') as period_from, strftime(max(date), '%Y-%m-%d') as period_to, count(*) as periods,
+      {r('sum(p)', 2)} as total, {r('avg(p)', 2)} as mean from p group by 1""")
+def forecast_table(spark, sf):
+    made = forecast.forecast_trend_season(nation_series(spark, sf), "revenue", ["nation"])
+    out = forecast.forecast_table(made, "revenue", ["nation"], "trend_season")
+    return round_all(out, 2).withColumns({c: day(c) for c in ("period_from", "period_to")})
+
+
+# Two lags: the normal equations in closed form, then month after month.
+@query("forecast_ar", f"""
+    with recursive {_SERIES_SQL}, x as (select a.nation, a.revenue as y, b.revenue as l1, c.revenue as l12 from m a
+      join m b on b.nation = a.nation and b.t = a.t - 1 join m c on c.nation = a.nation and c.t = a.t - 12),
+    f as (select nation, var_pop(l1) as s11, var_pop(l12) as s22, covar_pop(l1, l12) as s12, covar_pop(y, l1) as s1, covar_pop(y, l12) as s2, avg(y) as my, avg(l1) as m1, avg(l12) as m2 from x group by 1),
+    c as (select nation, (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) as b1, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) as b2, my, m1, m2 from f),
+    ahead(nation, step, t, p) as (
+      select nation, 0, max(t), arg_max(revenue, t) from m group by 1
+      union all select a.nation, a.step + 1, a.t + 1, c.my + c.b1 * (a.p - c.m1) + c.b2 * (m.revenue - c.m2)
+      from ahead a join c on c.nation = a.nation join m on m.nation = a.nation and m.t = a.t + 1 - 12 where a.step < 6)
+    select nation, step, strftime(last_day(make_date(((t - 1) // 12)::int, ((t - 1) % 12 + 1)::int, 1)), '%Y-%m-%d') as date, {r('p', 2)} as "Predicted revenue" from ahead where step > 0""")
 def forecast_ar(spark, sf):
     return round_all(forecast.forecast_ar(nation_series(spark, sf), "revenue", ["nation"], periods=6), 2).withColumn("date", day("date"))

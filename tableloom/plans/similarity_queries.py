@@ -254,6 +254,14 @@ def knn_distance(spark, sf):
     return round_all(cluster.knn_distance(customer_plane(spark, sf), "id", ["x", "y"]), 6)
 
 
+@query("knn_rings", f"""
+    with {_PLANE_SQL}, n as (select a.id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as distance, row_number() over (partition by a.id order by (a.x - b.x) ** 2 + (a.y - b.y) ** 2) as nth
+      from pts a join pts b on a.id <> b.id) select id, {r('distance', 6)} as distance from n where nth = 3""")
+def knn_rings(spark, sf):
+    """The way for large data, named, so that it is checked at any size: third nearest neighbours."""
+    return round_all(cluster.knn_distance(customer_plane(spark, sf), "id", ["x", "y"], 3, "rings"), 6)
+
+
 _DBSCAN_SQL = f"""with recursive {_PLANE_SQL},
     near as (select a.id as a, b.id as b from pts a join pts b on (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {{eps}} ** 2),
     core as (select a as id from near group by 1 having count(*) >= 5),

@@ -110,3 +110,21 @@ def test_lags(spark):
     series = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 5.0)], "k string, t int, y double")
     got = {(r["k"], r["t"]): r["y_lag1"] for r in forecast.lag_features(series, "y", [1], ["k"]).collect()}
     assert got == {("a", 1): None, ("a", 2): 1.0, ("b", 1): None}
+
+
+def test_trees_forecast_all_series_month_by_month(spark):
+    # A steady rise, a season of its own, a missing month and a series of one month.
+    rows = [("up", t, 10.0 * t) for t in range(24240, 24288)] + [("wave", t, 100.0 + 50 * (t % 12 < 6)) for t in range(24240, 24288)]
+    rows += [("gap", t, 5.0 * t) for t in range(24240, 24288) if t != 24280] + [("one", 24287, 7.0), ("none", 24287, None)]
+    df = spark.createDataFrame(rows, "who string, t bigint, y double")
+    found = forecast.forecast_trees(df, "y", ["who"], periods=6)
+    got = {(r["who"], r["step"]): r["Predicted y"] for r in found.collect()}
+    assert len(got) == 4 * 6
+    assert all(got["up", k] == pytest.approx(10.0 * (24287 + k), rel=0.001) for k in range(1, 7))
+    assert all(abs(got["wave", k] - (150 if (24287 + k) % 12 < 6 else 100)) < 15 for k in range(1, 7))
+    assert all(abs(got["gap", k] - 5.0 * (24287 + k)) < 60 for k in range(1, 7))
+    table = forecast.forecast_table(found, "y", ["who"], "trees").where("who = 'up'").first()
+    assert (str(table["period_from"]), str(table["period_to"]), table["periods"]) == ("2023-12-31", "2024-05-31", 6)
+    short = spark.createDataFrame([("a", 24240, 1.0), ("a", 24241, 3.0)], "who string, t bigint, y double")
+    assert [r["Predicted y"] for r in forecast.forecast_trees(short, "y", ["who"], periods=2).collect()] == [3.0, 3.0]
+    assert forecast.forecast_trees(df.drop("who").where("t < 24260").groupBy("t").agg(F.sum("y").alias("y")), "y", [], periods=2).columns == ["step", "date", "Predicted y"]
