@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
+from tableloom.functions.scalars import named
 from tableloom.functions.stats import HOT_ROWS
 from tableloom.operators.pairwise import tile_partitions
 from tableloom.operators.profile import type_class
@@ -354,16 +355,35 @@ TILE_USERS = 1024
 
 def cooccurrence(
     df: DataFrame, user: str, item: str, small_basket: int = SMALL_BASKET,
-    tile_items: int = TILE_ITEMS, tile_users: int = TILE_USERS,
+    tile_items: int = TILE_ITEMS, tile_users: int = TILE_USERS, min_users: int = 1,
 ) -> DataFrame:
-    """(item_a < item_b, n_users): users who have both items. Exact for baskets of any size.
+    """(item_a < item_b, n_users): users who have both items, for pairs that at least `min_users` have. Exact for baskets of any size.
 
     Small baskets meet in a self join and combine before the shuffle. Large baskets would emit the
     square of their size, so their user-by-item incidence is cut into tiles of bounded size whose
-    products yield counts per item pair at once.
+    products yield counts per item pair at once; a basket travels as one packed row per block of items and block
+    that it meets. Items that too few users have cannot be in an answer and are left out before baskets meet.
     """
-    pairs = df.where(F.col(user).isNotNull() & F.col(item).isNotNull()).select(
-        F.col(user).alias("u"), F.col(item).alias("i")).distinct()
+    pairs = df.where(named(user).isNotNull() & named(item).isNotNull()).select(named(user).alias("u"), named(item).alias("i")).distinct()
+    if min_users > 1:
+        pairs = cut_lineage(pairs)
+        common = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_users).select("i")
+        pairs = cut_lineage(pairs.join(common, "i", "left_semi"))
+    found = _cooccurrence(pairs, small_basket, tile_items, tile_users)
+    return found.where(F.col("n_users") >= min_users) if min_users > 1 else found
+
+
+def basket_tiles(large: DataFrame, blocks: int, slices: int) -> DataFrame:
+    """(s, lo, hi, b, u, items): the baskets (u, i) as packed rows, one for each block of items that a basket has and block that it meets there."""
+    placed = large.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn("s", F.pmod(F.xxhash64("u"), F.lit(slices)).cast("int"))
+    # A block holds about as many items as a tile is wide, whatever the basket.
+    packed = cut_lineage(placed.groupBy("u", "s", "b").agg(F.collect_list("i").alias("items")))
+    spans = packed.groupBy("u").agg(F.collect_list("b").alias("partners"))
+    return packed.join(spans, "u").select("u", "s", "b", "items", F.explode("partners").alias("p")).select(
+        "s", F.least("b", "p").alias("lo"), F.greatest("b", "p").alias("hi"), "b", "u", "items")
+
+
+def _cooccurrence(pairs: DataFrame, small_basket: int, tile_items: int, tile_users: int) -> DataFrame:
     sizes = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("size"))
     large_users = sizes.where(F.col("size") > small_basket).select("u")
     small = pairs.join(sizes.where(F.col("size") <= small_basket).select("u"), "u", "left_semi")
@@ -377,12 +397,7 @@ def cooccurrence(
     large = pairs.join(large_users, "u", "left_semi")
     n_items = large.agg(F.count_distinct("i")).first()[0]
     blocks, slices = -(-n_items // tile_items), -(-n_large // tile_users)
-    placed = large.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn(
-        "s", F.pmod(F.xxhash64("u"), F.lit(slices)).cast("int"))
-    # An item meets the blocks its user has items in: never more copies than blocks, nor than the basket has items.
-    spans = placed.select("u", "b").distinct().groupBy("u").agg(F.collect_set("b").alias("partners"))
-    tiles = placed.join(spans, "u").select("u", "i", "b", "s", F.explode("partners").alias("p")).select(
-        "u", "i", "s", "b", F.least("b", "p").alias("lo"), F.greatest("b", "p").alias("hi"))
+    tiles = basket_tiles(large, blocks, slices)
     tiles = tiles.repartition(tile_partitions(slices * blocks * (blocks + 1) // 2), "s", "lo", "hi")
 
     def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -391,9 +406,10 @@ def cooccurrence(
         sides = []
         for block in (lo, hi):
             mine = (pdf["b"] == block).to_numpy()
-            codes, names = pd.factorize(pdf["i"].to_numpy()[mine])
+            baskets = pdf["items"][mine]
+            codes, names = pd.factorize(np.concatenate([np.asarray(x) for x in baskets]) if len(baskets) else np.zeros(0, dtype=object))
             grid = np.zeros((len(names), users.max() + 1), dtype=np.float32)
-            grid[codes, users[mine]] = 1
+            grid[codes, np.repeat(users[mine], [len(x) for x in baskets])] = 1
             sides.append((names, grid))
         (left, a), (right, b) = sides
         counts = a @ b.T

@@ -468,6 +468,25 @@ def cosine_counts(vectors: DataFrame, min_sim: float, block_rows: int | None = N
     return tiles.groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def cosine_counts_of(vectors: DataFrame, asked: DataFrame, min_sim: float) -> DataFrame:
+    """(id, n) as `cosine_counts`, for the few vectors `asked` (id, vec) alone: every task is told these, and all others pass by once."""
+    rows = asked.select("id", "vec").collect()
+    if not rows:
+        return asked.select("id", F.lit(0).cast("bigint").alias("n"))
+    wanted = _unit(np.array([r["vec"] for r in rows], dtype=np.float64))
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(len(wanted), dtype=np.int64)
+        for part in parts:
+            if len(part):
+                n += (_cosine(wanted, _unit(np.stack(part["vec"].to_numpy()).astype(np.float64))) >= min_sim).sum(axis=1)
+        yield pd.DataFrame({"place": np.arange(len(n), dtype=np.int32), "n": n})
+
+    counts = vectors.select("vec").mapInPandas(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    names = vectors.sparkSession.createDataFrame([(r["id"], i) for i, r in enumerate(rows)], T.StructType([asked.schema["id"], T.StructField("place", T.IntegerType())]))
+    return names.join(counts, "place").select("id", "n")
+
+
 def nearest_distances(vectors: DataFrame, k: int = 1, block_rows: int | None = None) -> DataFrame:
     """(id, distance): Euclidean distance of every vector to its k-th nearest other."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tableloom.functions.scalars import rounded
-from tableloom.operators.pairwise import STEP_DIGITS, cosine_buckets, cosine_counts, cosine_topn, cosine_values, pack_blocks
+from tableloom.operators.pairwise import STEP_DIGITS, cosine_buckets, cosine_counts, cosine_counts_of, cosine_topn, cosine_values, pack_blocks
 from tableloom.operators.profile import interaction_density
 
 
@@ -120,8 +120,9 @@ def param_impact(vectors: DataFrame, settings: Settings) -> DataFrame:
 
 def preview(vectors: DataFrame, settings: Settings, show: int = 10, enough: int = 4) -> DataFrame:
     """Neighbour count and a note for the first `show` entities by id."""
-    counts = cosine_counts(vectors, settings.min_similarity)
-    first = counts.orderBy("id").limit(show)
+    # Only those shown are compared with all.
+    shown = vectors.orderBy("id").limit(show)
+    first = cosine_counts_of(vectors, shown, settings.min_similarity)
     kept = F.least(F.col("n") - F.col("self"), F.lit(settings.neighbours))
     zero = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + F.abs(x)) == 0
     # A zero vector is not even similar to itself.

@@ -206,6 +206,12 @@ def item_cooccurrence(spark, sf):
     return joins.cooccurrence(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
 
 
+@query("item_cooccurrence_common", f"select * from (with p as (select distinct l_orderkey as u, l_partkey as i from lineitem) {_PAIRS_SQL}) where n_users >= 2")
+def item_cooccurrence_common(spark, sf):
+    """Pairs that several orders have; what only one order has is left out before orders meet."""
+    return joins.cooccurrence(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", min_users=2)
+
+
 @query("cooccurrence_large_baskets", f"""
     with p as (select distinct o_custkey as u, p_brand as i from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey) {_PAIRS_SQL}""")
 def cooccurrence_large_baskets(spark, sf):

@@ -121,6 +121,22 @@ def test_cooccurrence_equals_counting(spark, small, items, users, kind):
     assert {(r["item_a"], r["item_b"]): r["n_users"] for r in got} == dict(want) and len(got) == len(want)
 
 
+def test_large_baskets_travel_packed_and_rare_items_stay_out(spark):
+    # One basket of 2,000 items in 20 blocks: a packed row for each pair of blocks, both ways, not 40,000 rows of items.
+    wide = spark.range(2000).select(F.lit(1).alias("u"), F.col("id").alias("i"))
+    tiles = joins.basket_tiles(wide, 20, 1)
+    assert tiles.count() <= 400 and tiles.agg(F.sum(F.size("items"))).first()[0] == 40_000
+    rng = random.Random(6)
+    data = [(u, i) for u in range(30) for i in rng.sample(range(40), 12 if u % 3 else 3)] + [(100, i) for i in range(40, 80)]
+    baskets = {}
+    for u, i in data:
+        baskets.setdefault(u, set()).add(i)
+    counts = Counter(pair for b in baskets.values() for pair in combinations(sorted(b), 2))
+    for small in (2, 100):
+        got = joins.cooccurrence(spark.createDataFrame(data, "`the.user` int, i int"), "the.user", "i", small, 7, 5, min_users=4).collect()
+        assert {(r["item_a"], r["item_b"]): r["n_users"] for r in got} == {p: n for p, n in counts.items() if n >= 4}
+
+
 def test_set_places_and_coverage(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "x int"), spark.createDataFrame([(2,), (3,)], "y int")
     assert rows(joins.item_sets(a, b)) == [(1, "left_only"), (2, "both"), (3, "right_only")]
