@@ -59,7 +59,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast and "<|" not in text and self.plain.fullmatch(text) and not self.long_run.search(text):
+        if self.fast and "<|" not in text and self.plain.fullmatch(text) and (len(text) < LONG_RUN or not self.long_run.search(text)):
             return self.fast.encode_to_numpy(text).astype("<u4")
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
 
