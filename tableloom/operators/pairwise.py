@@ -32,8 +32,10 @@ PAIR_BLOCK = 2048
 MAX_BLOCK = 32_768
 CHUNK_CELLS = 4_000_000
 MAX_PARTITIONS = 20_000
-# Vectors in a block that is dealt by direction, if that gives enough blocks; small blocks are narrow, so more pairs are decided.
-NARROW_BLOCK = 1024
+# Vectors in a block that is dealt by direction; small blocks are narrow, so more pairs are decided.
+NARROW_BLOCK = 4096
+# Fewer vectors are dealt by the hash: all their pairs take less than finding directions does.
+DIRECTED = 100_000
 # Centres of all blocks, which every task is told. Where they would be larger, blocks go by the hash and all pairs meet.
 SUMMARY_BYTES = 32 << 20
 # Up to so many blocks their pairs are listed here, without a job.
@@ -93,6 +95,7 @@ def pack_blocks(
     vectors = cut_lineage(vectors.select("id", "vec", (F.col(label).cast("bigint") if label else F.lit(0).cast("bigint")).alias("label")))
     n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
     size = block_rows or _block_rows(vectors, n, largest)
+    by_direction = by_direction and (block_rows is not None or n >= DIRECTED)
     if by_direction and block_rows is None:
         size = min(size, max(NARROW_BLOCK, n * 8 * (width + 4) // SUMMARY_BYTES))
     blocks = max(1, -(-n // size))
@@ -219,18 +222,20 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(squared_distance(x, y))
 
 
-def tiles_of(packed: Packed, wanted: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None, same: bool = True) -> DataFrame:
-    """(i, j) for the unordered pairs of blocks that have to meet, i = j included if `same`.
+def tiles_of(packed: Packed, wanted: Callable[[int, np.ndarray, np.ndarray], np.ndarray], same: bool = True) -> DataFrame | None:
+    """(i, j) for the unordered pairs of blocks that have to meet, i = j included if `same`; None for all, where nothing is known of the blocks.
 
     `wanted` says of the pairs of a block with all others, by their least and largest similarity, which cannot be left out.
     """
     spark, blocks, summary = packed.rows.sparkSession, packed.blocks, packed.summary
+    if summary is None:
+        return None
     tasks = min(blocks, 4 * spark.sparkContext.defaultParallelism)
 
     def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for b in part["id"]:
-                keep = np.ones(blocks, dtype=bool) if summary is None or wanted is None else wanted(b, *summary.bounds(b))
+                keep = wanted(b, *summary.bounds(b))
                 keep[:b if same else b + 1] = False
                 j = np.nonzero(keep)[0].astype(np.int32)
                 yield pd.DataFrame({"i": np.full(len(j), b, dtype=np.int32), "j": j})
@@ -325,6 +330,16 @@ def cosine_topn(vectors: DataFrame, n: int, min_sim: float | None = None, block_
                     into.append(more)
         return *found, floor
 
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("similarity").desc(), "other"))
+    if packed.summary is None:
+
+        def everything(tile: Tile) -> pd.DataFrame:
+            *found, _ = best_of(tile, [0, 1])
+            return pd.DataFrame(dict(zip(("id", "other", "similarity"), map(np.concatenate, found))))
+
+        local = over_tiles(vectors, everything, _neighbour_schema(vectors, "similarity"), packed=packed, unit=True)
+        return local.withColumn("rank", rank).where(F.col("rank") <= n)
+
     def within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for _, row in part.iterrows():
@@ -341,7 +356,7 @@ def cosine_topn(vectors: DataFrame, n: int, min_sim: float | None = None, block_
     tiles = tiles_of(packed, lambda b, low, high: high >= np.minimum(floors, floors[b]) - slack, same=False)
 
     def kernel(tile: Tile) -> pd.DataFrame:
-        high = summary.bounds(tile.i)[1][tile.j] if summary else np.inf
+        high = summary.bounds(tile.i)[1][tile.j]
         sides = [nth for nth, b in enumerate((tile.i, tile.j)) if high >= floors[b] - slack]
         *found, _ = best_of(tile, sides)
         return pd.DataFrame(dict(zip(("id", "other", "similarity"), map(np.concatenate, found))))
@@ -349,7 +364,6 @@ def cosine_topn(vectors: DataFrame, n: int, min_sim: float | None = None, block_
     local = over_tiles(vectors, kernel, _neighbour_schema(vectors, "similarity"), packed=packed, unit=True, tiles=tiles)
     local = local.unionByName(own.select(F.explode(F.arrays_zip("id", "other", "similarity")).alias("x")).select("x.*"))
     # At most n rows per id and block reach the window.
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("similarity").desc(), "other"))
     return local.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
@@ -384,9 +398,13 @@ BUCKETS = 1000
 
 def _buckets(cells: np.ndarray) -> np.ndarray:
     """The bucket of each similarity, which counts in full but for the noise of its last digits."""
-    fine = 10**DIGITS // BUCKETS
-    steps = np.rint((cells + 10.0 ** -(DIGITS + 3)) * 10.0**DIGITS).astype(np.int64)
-    return -(-steps // fine)
+    # Whole steps of the last digit; half a step off, so that the end of a bucket stays inside it.
+    steps = cells * 10.0**DIGITS
+    steps += 10.0**-3
+    np.rint(steps, out=steps)
+    steps -= 0.5
+    steps *= BUCKETS / 10.0**DIGITS
+    return np.ceil(steps, out=steps).astype(np.int32)
 
 
 def cosine_buckets(vectors: DataFrame, packed: Packed | None = None) -> DataFrame:
@@ -422,7 +440,7 @@ def cosine_values(vectors: DataFrame, buckets: list[int], packed: Packed | None
             place = _buckets(cells)
             inside = wanted[place + edge]
             steps = np.rint((cells[inside] + 10.0 ** -(STEP_DIGITS + 3)) * 10.0**STEP_DIGITS).astype(np.int64)
-            both, n = np.unique(place[inside] * (4 * 10**STEP_DIGITS) + steps + 2 * 10**STEP_DIGITS, return_counts=True)
+            both, n = np.unique(place[inside].astype(np.int64) * (4 * 10**STEP_DIGITS) + steps + 2 * 10**STEP_DIGITS, return_counts=True)
             parts.append(pd.DataFrame({"bucket": both // (4 * 10**STEP_DIGITS), "step": both % (4 * 10**STEP_DIGITS) - 2 * 10**STEP_DIGITS, "n": n}))
         found = _concat(parts, ["bucket", "step", "n"]).groupby(["bucket", "step"], as_index=False)["n"].sum()
         found["n"] *= 1 if tile.same else 2

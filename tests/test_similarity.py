@@ -86,6 +86,8 @@ def test_blocks_that_cannot_matter_do_not_meet(spark, monkeypatch):
 
     monkeypatch.setattr(pairwise, "tiles_of", counted)
     monkeypatch.setattr(pairwise, "FEW_BLOCKS", 3)
+    monkeypatch.setattr(pairwise, "DIRECTED", 100)
+    monkeypatch.setattr(pairwise, "NARROW_BLOCK", 20)
     for limit in (0.95, -0.95):
         counts = {r["id"]: r["n"] for r in pairwise.cosine_counts(vectors, limit, 20).collect()}
         assert counts == {i: int((sims[i] >= limit).sum()) for i in range(n)}
