@@ -116,3 +116,11 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
         folder = sc._jvm.org.apache.hadoop.fs.Path(step)
         folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
     return result
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are done and written.
+
+    It does so once the driver's JVM has collected what refers to them, which a driver with little to do may put off for long.
+    """
+    spark.sparkContext._jvm.System.gc()
