@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableloom.operators.components import connected_components
-from tableloom.session import cut_lineage, settled
+from tableloom.session import cut_lineage, forget_shuffles, settled
 
 HUBS = 2
 # Nodes of one key, apart after the hubs, that are compared with each other as they are; more are parted by finer keys first.
@@ -55,6 +55,7 @@ def groups(
     twos, crowd = meetings(keys)
     twos = twos.join(end("a"), "a").join(end("b"), "b").where(close(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
     crowd = cut_lineage(crowd.join(nodes, "node"))
+    forget_shuffles(keys.sparkSession)
     live, roots = crowd, None
     for turn in range(hubs + 1):
         if turn < hubs:
@@ -80,6 +81,7 @@ def groups(
             # What earlier turns linked stands for the groups they made.
             found = found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
         roots = settled(found.sparkSession, lambda found=found: connected_components(found).select("node", F.col("label").alias("root")))
+        forget_shuffles(keys.sparkSession)
         if turn == hubs:
             break
         live = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
