@@ -1,18 +1,21 @@
 """Scores of texts by logistic context mixing.
 
-A text is its lower-cased words, each spelled in bytes and ended by a blank, and an end. Every byte is predicted bit
-by bit. Several predictors look at hashed contexts (the place in the word, its last one to four bytes, all of it so
-far), and each gives the log odds of the bit from how often its context saw 0 and 1 in the corpus. A gate, how often
-the word so far and its last bytes have been seen, and a second one, the place in word and byte, choose the weights
-that mix them; a table of corrections, by gate and mixed odds, refines the result. Weights and corrections are learned
-online, words after words, every word being left out of the counts while it is learned from. The cost of a word is the
-sum over its bits.
-
-Texts are of kinds, such as languages, and the score adapts to the kind as the words of a text go by: with P(kind|word)
-from the corpus, a text has the mean, over kinds, of the product of P(word) P(kind|word) / P(kind).
-
-So each distinct word is learned from and costed once: counts of words are gathered by a shuffle, predictors live in
-tables of a fixed size, and the costs go back to the texts by joins.
+A text is its lower-cased words and an end. They are predicted in their order, bit by bit: from the words before each,
+and from what the text did so far, see `phrases`. Frequent words have codes; any other is an escape, and then spelled.
+
+A word is spelled in bytes and ended by a blank. Every byte is predicted bit by bit. Several predictors look at hashed
+contexts (the place in the word, its last one to four bytes, all of it so far), and each gives the log odds of the bit
+from how often its context saw 0 and 1 in the corpus. A gate, how often the word so far and its last bytes have been
+seen, and a second one, the place in word and byte, choose the weights that mix them; a table of corrections, by gate and
+mixed odds, refines the result. Weights and corrections are learned online, words after words, every word being left out
+of the counts while it is learned from. The spelling of a word costs the sum over its bits.
+
+Texts are of kinds, such as languages. A second model spells all words and adapts to the kind as the words of a text go
+by: with P(kind|word) from the corpus, a text has the mean, over kinds, of the product of P(word) P(kind|word) / P(kind).
+The probability of a text is the mean of what the two models give it.
+
+Each distinct word is spelled once: counts of words are gathered by a shuffle, predictors live in tables, and the costs
+go back to the texts by joins. Words in their order are costed text by text.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tableloom.llm import phrases
 from tableloom.llm.common import col
-from tableloom.session import cut_lineage
+from tableloom.session import cut_lineage, forget_shuffles
 
 # log2 of the slots of each predictor: place, last 1, 2, 3 and 4 bytes, word so far.
 TABLE_BITS = (12, 16, 18, 20, 21, 22)
@@ -37,6 +41,8 @@ BLOCK = 1 << 16
 # Words of a chunk, which is scored as one; bytes of words that one task counts.
 CHUNK_WORDS = 8_000_000
 COUNT_BYTES = 8 << 20
+# Words whose order one task learns from, at least.
+LEARN_TOKENS = 8_000_000
 # Words that are learned from at once, and that are scored at once.
 LEARN_WORDS = 4_096
 SCORE_WORDS = 16_384
@@ -55,6 +61,7 @@ KINDS = 8
 # Sightings that P(kind) is worth in P(kind|word).
 KIND_PRIOR = 0.5
 
+COUNTED = "block bigint, counts binary"
 TOKENS = "chunk bigint, number int, word binary, n array<bigint>, doc_id {id}, held_out boolean, tokens binary, size bigint"
 
 
@@ -210,17 +217,28 @@ def count(words: DataFrame) -> Counts:
             if held.any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block // BLOCK], pa.int64()), "counts": [zlib.compress(held.tobytes(), 1)]})
 
+    return Counts(_added_up(words.select("word", F.col("n").cast("bigint").alias("n")).repartition(tasks).mapInArrow(add, COUNTED), tasks))
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype(np.float32).tobytes(), 1)
+
+
+def _unpack(held: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(held), np.float32)
+
+
+def _added_up(tables: DataFrame, tasks: int, pack=_pack, unpack=_unpack) -> dict[int, bytes]:
+    """The packed sums of the packed `counts` by `block`, which come from so many tasks; those of negative blocks are plain numbers."""
+
     def merge(part: pa.Table) -> pa.Table:
-        held = sum(np.frombuffer(zlib.decompress(c.as_py()), np.float32) for c in part.column("counts"))
-        return pa.table({"block": part.column("block").slice(0, 1), "counts": [zlib.compress(held.astype(np.float32).tobytes(), 1)]})
+        into, out = (unpack, pack) if part.column("block")[0].as_py() >= 0 else (_unpack, _pack)
+        return pa.table({"block": part.column("block").slice(0, 1), "counts": [out(sum(into(c.as_py()) for c in part.column("counts")))]})
 
-    schema = "block bigint, counts binary"
-    tables = words.select("word", F.col("n").cast("bigint").alias("n")).repartition(tasks).mapInArrow(add, schema)
     # A block meets in two steps, so that no task gets more than a few hundred of its copies.
     some = tables.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(max(1, int(tasks ** 0.5)))))
-    half = some.groupBy("block", "part").applyInArrow(merge, schema)
-    found = half.groupBy("block").applyInArrow(merge, schema).collect()
-    return Counts({r["block"]: bytes(r["counts"]) for r in found})
+    half = some.groupBy("block", "part").applyInArrow(merge, COUNTED)
+    return {r["block"]: bytes(r["counts"]) for r in half.groupBy("block").applyInArrow(merge, COUNTED).collect()}
 
 
 class Mixer:
@@ -330,26 +348,69 @@ def fit(words: DataFrame) -> tuple:
     return held, sc.broadcast(mixer.arrays())
 
 
-def word_scores(words: DataFrame, model: tuple) -> DataFrame:
-    """`words` with score, the log10 probability of each distinct word; the column word comes first."""
+def fit_order(texts: DataFrame, words: DataFrame, train_tokens: int) -> tuple:
+    """The words of (word, n) that have codes, and a broadcast model of how words follow each other in `texts` (text), which are learned from.
+
+    At most `phrases.CODED` words and the slots of two orders of contexts reach the driver.
+    """
+    spark = texts.sparkSession
+    top = words.orderBy(F.desc("n"), "word").select("word", "n").limit(phrases.CODED).collect()
+    codes = phrases.tree([train_tokens - sum(r["n"] for r in top) + 1, *(r["n"] for r in top)])
+    named, table = [bytes(r["word"]) for r in top], phrases.table_bits(train_tokens)
+    shared = spark.sparkContext.broadcast((named, codes))
+
+    def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named, codes = shared.value
+        number, learner = {w: i + 1 for i, w in enumerate(named)}, phrases.Learner(codes, table)
+        for part in parts:
+            spelled = [(t or b"").lower().split() + [END] for t in part.column(0).to_pylist()]
+            learner.learn([np.fromiter((number.get(w, 0) for w in text), np.int32, len(text)) for text in spelled])
+        if learner.learned:
+            # Block -1 holds the weights, by what they were learned from.
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([-1], pa.int64()), "counts": [_pack(np.append(learner.weights.ravel() * learner.learned, learner.learned))]})
+            flat = learner.counts.ravel()
+            for at in range(0, flat.size, 2 * BLOCK):
+                if flat[at:at + 2 * BLOCK].any():
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([at // (2 * BLOCK)], pa.int64()), "counts": [phrases.packed(flat[at:at + 2 * BLOCK])]})
+
+    # A task learns from many words, as every one sends on its counts.
+    tasks = max(spark.sparkContext.defaultParallelism, train_tokens // LEARN_TOKENS)
+    found = _added_up(texts.coalesce(tasks).mapInArrow(learn, COUNTED), tasks, phrases.packed, phrases.unpacked)
+    learner = phrases.Learner(codes, table)
+    flat = learner.counts.reshape(-1)
+    for block, held in found.items():
+        if block >= 0:
+            held = phrases.unpacked(held)
+            flat[2 * block * BLOCK:2 * block * BLOCK + len(held)] = held
+        else:
+            held = _unpack(held)
+            learner.weights = (held[:-1] / held[-1]).reshape(learner.weights.shape)
+    model = {k: (v.shape, zlib.compress(v.tobytes(), 1)) for k, v in phrases.model(learner.counts).items()}
+    return shared, table, spark.sparkContext.broadcast((model, learner.weights))
+
+
+def word_scores(words: DataFrame, model: tuple, named=None) -> DataFrame:
+    """`words` with score, the log10 probability of each distinct word, and its code, 0 unless the broadcast `named` lists it; the column word comes first."""
     held, arrays = model
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, counts = Mixer.of(arrays.value), Counts(held.value).whole()
+        number = {w: i + 1 for i, w in enumerate(named.value[0])} if named else {}
         for part in parts:
-            out = np.zeros(part.num_rows)
-            for at, some, lengths in _batches(part.column(0).to_pylist(), SCORE_WORDS):
+            out, spelled = np.zeros(part.num_rows), part.column(0).to_pylist()
+            for at, some, lengths in _batches(spelled, SCORE_WORDS):
                 out[at] = mixer.cost(counts, some, lengths)
-            yield part.append_column("score", pa.array(out))
+            yield part.append_column("score", pa.array(out)).append_column("code", pa.array([number.get(w, 0) for w in spelled], pa.int32()))
 
-    return words.mapInArrow(run, f"{words.schema.simpleString()[7:-1]},score:double")
+    return words.mapInArrow(run, f"{words.schema.simpleString()[7:-1]},score:double,code:int")
 
 
 def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", kind_col: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row; learns from rows that are not `held_out`.
 
     base_score is that of single words with one added to every count; score is the log10 probability under context
-    mixing. Kinds are the `KINDS` most frequent values of `kind_col` in the training texts, of which alone it is read.
+    mixing, in which the order of words and their repeats count. Kinds are the `KINDS` most frequent values of `kind_col` in the training texts, of which alone it is read.
     A null text is empty and has its end alone; where `held_out` is null, a row is learned from. Repeated rows count as
     often as they stand; other columns are not looked at. Without any training text both scores are those of an
     untrained model. An empty table gives none.
@@ -370,9 +431,18 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     sums = [F.sum(F.col("n")[k]).alias(f"n{k}") for k in sorts]
     words = spoken.groupBy("word").agg(*sums).withColumn("n", sum((F.col(f"n{k}") for k in sorts), F.lit(0).cast("bigint")))
     words = cut_lineage(words)
+    forget_shuffles(spark)
     train_tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    scored = cut_lineage(word_scores(words, fit(words.where("n > 0"))))
+    fitted = fit(words.where("n > 0"))
+    forget_shuffles(spark)
+    spark.conf.set(conf, before)
+    learned_from = df.where(~F.coalesce(held_out, F.lit(False))).select(col(text_col).cast("binary").alias("text"))
+    named, table, order = fit_order(learned_from, words.where("n > 0"), train_tokens)
+    forget_shuffles(spark)
+    spark.conf.set(conf, str(4 * SCORE_WORDS))
+    scored = cut_lineage(word_scores(words, fitted, named))
     spark.conf.set(conf, before)
+    forget_shuffles(spark)
     floor = np.log10(train_tokens + distinct + 1)
     # P(kind) is that of the words as the model has them, so that the kinds share out its probability.
     plain = [r / train_tokens if train_tokens else 1 / len(sorts) for r in words.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in sorts]).first()]
@@ -384,10 +454,12 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     present = prior > 0
 
     def gather(own: pa.Table, found: pa.Table) -> pa.Table:
+        model, weights = order.value
+        learned = {k: np.frombuffer(zlib.decompress(held), np.int8).reshape(shape) for k, (shape, held) in model.items()}
         size = own.num_rows
-        n, cost, shift = np.zeros(size, np.int64), np.zeros(size), np.zeros((size, len(sorts)))
+        n, cost, code, shift = np.zeros(size, np.int64), np.zeros(size), np.zeros(size, np.int32), np.zeros((size, len(sorts)))
         at = own.column("number").to_numpy()
-        n[at], cost[at] = own.column("n").to_numpy(), own.column("score").to_numpy()
+        n[at], cost[at], code[at] = own.column("n").to_numpy(), own.column("score").to_numpy(), own.column("code").to_numpy()
         for k in sorts:
             if present[k]:
                 shift[at, k] = np.log(given(own.column(f"n{k}").to_numpy().astype(float), own.column("n").to_numpy(), k) / prior[k])
@@ -395,16 +467,22 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         base, known = np.log10(n + 1.0) - floor, n > 0
         base_scores, scores, rows = [], [], [
             np.frombuffer(pa.decompress(t.as_py(), 4 * n, "zstd", asbytes=True), np.uint32) for t, n in zip(found.column("tokens"), found.column("size").to_pylist())]
-        for r in rows:
+        spelling = np.where(code == 0, cost, 0.0)
+        for r, follow in zip(rows, phrases.costs(named.value[1], table, learned, weights, [code[r] for r in rows])):
             kind = np.log(prior[present]) + shift[r][:, present].sum(axis=0)
             base_scores.append(float(base[r].sum()))
-            scores.append(float(cost[r].sum() + np.logaddexp.reduce(kind) / np.log(10)))
+            apart = cost[r].sum() * np.log(10) + np.logaddexp.reduce(kind)
+            in_order = follow.sum() + spelling[r].sum() * np.log(10)
+            scores.append(float((np.logaddexp(apart, in_order) - np.log(2)) / np.log(10)))
         return pa.table({
             "doc_id": found.column("doc_id"), "held_out": found.column("held_out"), "n_tokens": pa.array([len(r) for r in rows], pa.int64()),
             "n_known": pa.array([int(known[r].sum()) for r in rows], pa.int64()), "train_tokens": pa.array([train_tokens] * len(rows), pa.int64()),
             "base_score": pa.array(base_scores, pa.float64()), "score": pa.array(scores, pa.float64())})
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    priced = spoken.select("chunk", "number", "word").join(scored, "word").select("chunk", "number", "n", "score", *[f"n{k}" for k in sorts])
+    priced = spoken.select("chunk", "number", "word").join(scored, "word").select("chunk", "number", "n", "score", "code", *[f"n{k}" for k in sorts])
+    # A task gets few chunks, as they are small but take long.
+    chunks = max(1, texts.select("of_chunk").distinct().count())
+    priced, texts = priced.repartition(2 * chunks, "chunk"), texts.repartition(2 * chunks, "of_chunk")
     return priced.groupBy("chunk").cogroup(texts.groupBy("of_chunk")).applyInArrow(
         gather, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -82,6 +82,40 @@ def test_mixing_learns(spark, docs):
     assert mixing.score(docs.limit(0), held).count() == 0
 
 
+def test_order_and_repeats_count(spark):
+    sentence = "the cat sat on the mat and saw the dog run to the old house"
+    mixed = "mat the dog on house old the run saw and to the sat the cat"
+    rows = [(i, sentence if i < 40 else f"{'cat dog mat house'.split()[i % 4]} the old run {i}", "en") for i in range(80)]
+    rows += [(100, sentence, "en"), (101, mixed, "en"), (102, "qua " * 30, "en"), (103, "qua ", "en"), (104, "x" + " the" * (mixing.phrases.RUN + 5), "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in mixing.score(df, F.col("doc_id") >= 100, kind_col="lang").collect()}
+    assert got[100]["n_tokens"] == got[101]["n_tokens"] and got[100]["base_score"] == pytest.approx(got[101]["base_score"])
+    assert got[100]["score"] > got[101]["score"] + 2
+    # A word that the text has said before costs less.
+    assert got[102]["score"] > 30 * got[103]["score"] + 10
+    assert 0 > got[104]["score"] > got[104]["base_score"] / 2
+
+
+def test_codes_share_out_the_probability_of_a_word():
+    rng = np.random.default_rng(1)
+    codes = mixing.phrases.tree([5, *range(40, 0, -1)])
+    learner = mixing.phrases.Learner(codes, 16)
+    learner.learn([rng.integers(0, 41, n).astype(np.int32) for n in (0, 1, 300, 2000)])
+    learned = mixing.phrases.model(learner.counts)
+    before = np.array([3, 7, 3], np.int32)
+    every = mixing.phrases.costs(codes, 16, learned, learner.weights, [np.append(before, s).astype(np.int32) for s in range(41)])
+    assert math.isclose(sum(math.exp(c[-1]) for c in every), 1.0, rel_tol=1e-5)
+    # One run or several, the text is the same.
+    text = rng.integers(0, 41, mixing.phrases.RUN + 100).astype(np.int32)
+    whole = mixing.phrases.costs(codes, 16, learned, learner.weights, [text])[0]
+    run = mixing.phrases.RUN
+    mixing.phrases.RUN = 1000
+    try:
+        assert np.allclose(whole, mixing.phrases.costs(codes, 16, learned, learner.weights, [text])[0], rtol=1e-5)
+    finally:
+        mixing.phrases.RUN = run
+
+
 # --- packing
 
 def test_pieces_and_sequences_round_trip(spark, docs):
