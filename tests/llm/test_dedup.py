@@ -109,6 +109,22 @@ def test_similar_documents_join_copies_and_leave_others(spark):
     assert sum(got[i] == first[group[i]] for i in group) >= 0.9 * len(group)
 
 
+def test_similar_documents_meet_by_deletion_variants(spark):
+    words = [f"w{i * 7919 % 10_007}" for i in range(600)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(reversed(words))]
+    marks = simhash._set_marks(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text", 5)
+    got = {r["id"]: r for r in marks.collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["fp"] % 2 ** 64 == simhash.fingerprint(sorted(set(simhash.shingles_of(text.encode(), 5))))
+    assert len({r["fp"] for r in got.values()} | {r["fp2"] for r in got.values()}) > 3
+    by = {}
+    for r in simhash._set_keys(marks.withColumnRenamed("id", "node")).collect():
+        by.setdefault(r["node"], set()).add(r["key"])
+    assert all(len(keys) == 2 * simhash.BITS + simhash.BANDS for keys in by.values())
+    variants = {i: {k for k in keys if 0 <= k < 2 * simhash.BITS << 32} for i, keys in by.items()}
+    assert variants[0] & variants[1] and not variants[0] & variants[2]
+
+
 def test_similar_documents_are_those_of_the_jaccard_similarity(spark):
     rng, rows, pairs = random.Random(6), [], []
     runs = lambda words: set(zip(*(words[i:] for i in range(5))))
