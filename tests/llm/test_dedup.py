@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tableloom import session
 from tableloom.llm import crowds, decontaminate, lines, simhash
 
 WORDS = [a + b for a in "bcdfglmnprst" for b in ("a", "en", "io", "ut", "ers")]
@@ -153,6 +155,41 @@ def test_hubs_find_the_groups_of_all_links(spark):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def test_families_of_keys_meet_one_after_the_other_and_leave_no_meetings(spark, tmp_path):
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(n, rng.randrange(40), rng.randrange(100, 115), float(rng.randrange(80))) for n in range(200)], "node bigint, k1 bigint, k2 bigint, at double")
+    nodes = rows.select("node", "at", F.array(F.col("at")).alias("heavy"))
+    families = [rows.select(F.col(k).alias("key"), "node") for k in ("k1", "k2")]
+    close = lambda a, b: F.abs(F.get(a("heavy"), F.lit(0)) - F.get(b("heavy"), F.lit(0))) <= 2
+    first = lambda a, b: F.abs(a("at") - b("at")) <= 5
+    steps = []
+
+    def verify(pairs):
+        root = Path(session.work_path(spark, "none")).parents[1]
+        steps.extend(spark.read.parquet(str(p)).columns for p in root.glob("*/step") if (p / "_SUCCESS").exists())
+        return pairs
+
+    found = session.settled(spark, lambda: crowds.groups(families, nodes, close, verify, first=first, large=("heavy",)))
+    got = {r["node"]: r["root"] for r in found.collect()}
+    at = [tuple(r) for r in rows.drop("heavy").collect()]
+    want = components([r[0] for r in at], [(a[0], b[0]) for a, b in combinations(at, 2) if (a[1] == b[1] or a[2] == b[2]) and abs(a[3] - b[3]) <= 2])
+    assert {n: got.get(n, n) for n in want} == want
+    assert steps and ["key", "n", "a", "b"] not in steps
+
+
+def test_bits_of_samples_bound_what_they_have_in_common(spark):
+    rng = random.Random(12)
+    pool = [rng.randrange(-1 << 31, 1 << 31) for _ in range(30)] + [i << 7 for i in range(6)]
+    rows = [(i, rng.sample(pool, rng.randint(0, 10)), rng.sample(pool, rng.randint(1, 10))) for i in range(300)] + [(300, None, [1])]
+    df = spark.createDataFrame(rows, "id int, x array<int>, y array<int>")
+    for side in ("x", "y"):
+        marks = df.select("*", F.col(side).alias("sample")).select("*", *lines._sample_bits()).drop("sample")
+        df = marks.withColumnsRenamed({c: f"{side}_{c}" for c in ("m0", "m1", "n_sample")})
+    got = {r["id"]: r["most"] for r in df.select("id", lines._most_common(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")).alias("most")).collect()}
+    common = {i: len(set(x or []) & set(y)) for i, x, y in rows}
+    assert all(got[i] >= common[i] for i in range(300)) and sum(got[i] == common[i] for i in range(300)) > 60
+
+
 def normal(line):
     return re.sub(r"[\W_]+", " ", line.lower().translate(str.maketrans("123456789", "0" * 9))).strip()
 
