@@ -262,43 +262,47 @@ class Mixer:
 
     def inputs(self, counts: np.ndarray, slots: np.ndarray, bit: np.ndarray | None):
         """Log odds of a 1 per predictor, and the gate; with `bit`, without one sight of it."""
-        zeros, ones = counts[2 * slots], counts[2 * slots + 1]
+        # Both counts of a slot lie side by side and are fetched as one.
+        both = counts.view(np.complex64)[slots]
+        pairs = both.view(np.float32)
         if bit is not None:
-            ones = np.maximum(ones - bit, 0)
-            zeros = np.maximum(zeros - (1 - bit), 0)
-        both = zeros + ones
+            both -= (1 - bit) + 1j * bit
+            np.maximum(pairs, 0, out=pairs)
         # How often the word so far has been seen, and whether its last four bytes were.
-        sight = np.minimum(np.log2(both[5] + 1), SIGHTS - 1).astype(np.int64)
-        gate = sight * NEAR + (both[4] > 0) + (both[4] > 8)
-        odds = np.log((ones + PRIOR) / (zeros + PRIOR)).astype(np.float32)
-        return np.concatenate([odds, np.ones((1, slots.shape[1]), np.float32)]).T, gate
+        near, whole = both[4].real + both[4].imag, both[5].real + both[5].imag
+        gate = np.minimum(np.log2(whole + 1), SIGHTS - 1).astype(np.int64) * NEAR + (near > 0) + (near > 8)
+        pairs += np.float32(PRIOR)
+        return np.log(both.imag / both.real), gate
 
     def mix(self, x: np.ndarray, gate: np.ndarray, place: int):
-        mixed = ((self.by_sight[gate] + self.by_place[place]) * x).sum(axis=1)
-        at = (np.clip(mixed, -REACH + 1e-3, REACH - 1e-3) + REACH) * (STEPS / (2 * REACH))
+        # The weights of a bit are picked predictor by predictor, from few gates.
+        weights = (self.by_sight + self.by_place[place]).T.copy()
+        mixed = weights[ORDERS][gate]
+        for k in range(ORDERS):
+            mixed += weights[k][gate] * x[k]
+        at = (np.clip(mixed, -REACH + 1e-3, REACH - 1e-3) + np.float32(REACH)) * np.float32(STEPS / (2 * REACH))
         low = at.astype(np.int64)
-        share = (at - low).astype(np.float32)
-        fine = self.refined[gate, low] * (1 - share) + self.refined[gate, low + 1] * share
-        return mixed, low, share, (mixed + fine) / 2
+        share = at - low.astype(np.float32)
+        step, refined = gate * (STEPS + 1) + low, self.refined.ravel()
+        fine = refined[step] * (1 - share) + refined[step + 1] * share
+        return mixed, step, share, (mixed + fine) / 2
 
     def learn(self, counts: np.ndarray, slots: np.ndarray, bit: np.ndarray, place: int, weight: np.ndarray) -> None:
         """One online step on a bit of several words, with a rate per weight that falls as it is used."""
+        bit = bit.astype(np.float32)
         x, gate = self.inputs(counts, slots, bit)
-        mixed, low, share, final = self.mix(x, gate, place)
+        mixed, step, share, final = self.mix(x, gate, place)
         weight = weight / weight.sum()
-        error = ((bit - 1 / (1 + np.exp(-mixed))) * weight).astype(np.float32)[:, None]
-        step = error * x
-        slope = np.zeros_like(self.by_sight)
-        np.add.at(slope, gate, step)
-        self._go(0, slope, RATE)
-        slope = np.zeros_like(self.by_place)
-        slope[place] = step.sum(axis=0)
-        self._go(1, slope, RATE)
-        error = ((bit - 1 / (1 + np.exp(-final))) * weight).astype(np.float32)
-        slope = np.zeros_like(self.refined)
-        np.add.at(slope, (gate, low), error * (1 - share))
-        np.add.at(slope, (gate, low + 1), error * share)
-        self._go(2, slope, RATE)
+        error = (bit - 1 / (1 + np.exp(-mixed))) * weight
+        by_gate = lambda v: np.bincount(gate, v, SIGHTS * NEAR)
+        slope = np.stack([*(by_gate(error * x[k]) for k in range(ORDERS)), by_gate(error)], axis=1)
+        self._go(0, slope.astype(np.float32), RATE)
+        at_place = np.zeros_like(self.by_place)
+        at_place[place] = slope.sum(axis=0)
+        self._go(1, at_place, RATE)
+        error = (bit - 1 / (1 + np.exp(-final))) * weight
+        fine = np.bincount(step, error * (1 - share), self.refined.size) + np.bincount(step + 1, error * share, self.refined.size)
+        self._go(2, fine.astype(np.float32).reshape(self.refined.shape), RATE)
 
     def _go(self, which: int, slope: np.ndarray, rate: float) -> None:
         array, spent = self.arrays()[which], self.spent[which]
@@ -311,7 +315,9 @@ class Mixer:
         for slots, bit, place in bits_of(spelled, lengths):
             x, gate = self.inputs(counts, slots, None)
             final = np.clip(self.mix(x, gate, place)[3], -20, 20)
-            total[:len(bit)] -= np.logaddexp(0, np.where(bit == 1, -final, final))
+            # log(1 + exp(-final)) for a 1, log(1 + exp(final)) for a 0.
+            wrong = np.where(bit == 1, -final, final)
+            total[:len(bit)] -= np.maximum(wrong, 0) + np.log1p(np.exp(-np.abs(wrong)))
         return total / np.log(10)
 
 

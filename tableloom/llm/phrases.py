@@ -23,7 +23,7 @@ CODED = (1 << 16) - 1
 # log2 of the slots of each order of contexts: as many slots as words learned from, within these bounds.
 LEAST_BITS, MOST_BITS = 16, 22
 # Words that are predicted at once; the text so far is remembered from one run of a long text to the next.
-RUN = 1 << 15
+RUN = 1 << 13
 # Bits that the weights are corrected by at once.
 LEARN_BITS = 1 << 14
 PRIOR = 0.4
@@ -103,14 +103,24 @@ class Bits:
         two = ((second + np.uint64(1)) * SALTS[1] ^ one) * SALTS[0]
         shift = np.uint64(64 - table)
         self.slots = []
+        nodes = self.node.view(np.uint64)
         for context in (one, two):
             context = context ^ (context >> np.uint64(29))
-            mixed = (context[self.word] + self.node.astype(np.uint64)) * SALTS[1]
-            self.slots.append(((mixed ^ (mixed >> np.uint64(32))) * SALTS[2] >> shift).astype(np.int64))
+            mixed = np.repeat(context, sizes)
+            mixed += nodes
+            mixed *= SALTS[1]
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= SALTS[2]
+            mixed >>= shift
+            self.slots.append(mixed.view(np.int64))
         # Bits by text and place, in their order: those before in their group are what the text did there so far.
         places = len(codes["odds"])
         wide = np.uint64(max(1, total).bit_length())
-        order = np.sort(((own[self.word] * places + self.node).astype(np.uint64) << wide) | np.arange(total, dtype=np.uint64))
+        order = np.repeat((own * places).astype(np.uint64), sizes)
+        order += nodes
+        order <<= wide
+        order |= np.arange(total, dtype=np.uint64)
+        order.sort()
         group, order = order >> wide, (order & ((np.uint64(1) << wide) - np.uint64(1))).astype(np.int64)
         ones = np.cumsum(self.bit[order]) - self.bit[order]
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if total else np.zeros(0, np.int64)
@@ -168,19 +178,20 @@ class Learner:
 
     def learn(self, texts: list[np.ndarray]) -> None:
         for _, found in all_bits(self.codes, self.table, texts):
-            slots = [2 * s for s in found.slots]
-            seen = [(c[s], c[s + 1]) for c, s in zip(self.counts, slots)]
-            x, gate = _inputs(self.codes, found, [(_odds(a, b), _class(a + b)) for a, b in seen])
+            # Both counts of a slot lie side by side and are fetched as one.
+            seen = [c.view(np.complex64)[s] for c, s in zip(self.counts, found.slots)]
+            x, gate = _inputs(self.codes, found, [(_odds(n.real, n.imag), _class(n.real + n.imag)) for n in seen])
+            bit = found.bit.astype(np.float32)
             for at in range(0, len(gate), LEARN_BITS):
                 part = slice(at, at + LEARN_BITS)
                 some, chosen = [v[part] for v in x], gate[part]
-                error = (found.bit[part] - 1 / (1 + np.exp(-_mixed(self.weights, some, chosen)))) / len(chosen)
+                error = (bit[part] - 1 / (1 + np.exp(-_mixed(self.weights, some, chosen)))) / np.float32(len(chosen))
                 for i in range(INPUTS):
                     slope = np.bincount(chosen, error * some[i] if i < len(some) else error, GATES).astype(np.float32)
                     self.spent[i] += slope ** 2
                     self.weights[i] += RATE * slope / np.sqrt(self.spent[i])
-            for c, s in zip(self.counts, slots):
-                np.add.at(c, s + found.bit, np.float32(1))
+            for c, s in zip(self.counts, found.slots):
+                np.add.at(c, 2 * s + found.bit, np.float32(1))
             self.learned += len(gate)
 
 
@@ -202,8 +213,11 @@ def unpacked(held: bytes) -> np.ndarray:
 def costs(codes: dict, table: int, learned: dict, weights: np.ndarray, texts: list[np.ndarray]) -> list[np.ndarray]:
     """Natural logarithms of the probabilities of the words of each text, an array of codes, after those before them."""
     out = [np.zeros(len(t)) for t in texts]
+    # Odds and class of a slot lie side by side and are fetched as one.
+    both = learned["slots"].astype(np.int16) * CLASSES + learned["seen"]
     for run, found in all_bits(codes, table, texts):
-        orders = [(learned["slots"][i][s] * np.float32(1 / FINE), learned["seen"][i][s]) for i, s in enumerate(found.slots)]
+        held = [both[i][s] for i, s in enumerate(found.slots)]
+        orders = [((h >> 2).astype(np.float32) * np.float32(1 / FINE), h & 3) for h in held]
         mixed = _mixed(weights, *_inputs(codes, found, orders))
         # log(1 + exp(-m)) for a 1, log(1 + exp(m)) for a 0.
         wrong = np.where(found.bit == 1, -mixed, mixed)

@@ -73,6 +73,38 @@ def test_bits_of_a_byte_share_out_its_probability():
     assert len(words) == 224
 
 
+def test_a_step_of_learning_is_the_plain_one_and_adds_nothing_bit_by_bit(monkeypatch):
+    rng = np.random.default_rng(3)
+    counts, n = np.zeros(2 * mixing.SLOTS, np.float32), 500
+    slots = rng.integers(0, 4000, (mixing.ORDERS, n)) + mixing.OFFSETS[:-1, None]
+    bit, weight = rng.integers(0, 2, n), rng.integers(1, 9, n).astype(np.float32)
+    for k in range(mixing.ORDERS):
+        np.add.at(counts, 2 * slots[k] + bit, weight)
+    plain, mixer = mixing.Mixer(), mixing.Mixer()
+    zeros, ones = np.maximum(counts[2 * slots] - (1 - bit), 0), np.maximum(counts[2 * slots + 1] - bit, 0)
+    both = zeros + ones
+    gate = np.minimum(np.log2(both[5] + 1), mixing.SIGHTS - 1).astype(int) * mixing.NEAR + (both[4] > 0) + (both[4] > 8)
+    x = np.vstack([np.log((ones + mixing.PRIOR) / (zeros + mixing.PRIOR)), np.ones(n)]).T
+    mixed = ((plain.by_sight[gate] + plain.by_place[5]) * x).sum(axis=1)
+    step = ((bit - 1 / (1 + np.exp(-mixed))) * weight / weight.sum())[:, None] * x
+    slope, at_place = np.zeros_like(plain.by_sight), np.zeros_like(plain.by_place)
+    np.add.at(slope, gate, step)
+    at_place[5] = step.sum(axis=0)
+    plain._go(0, slope, mixing.RATE)
+    plain._go(1, at_place, mixing.RATE)
+
+    class Numpy:
+        add = None
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    monkeypatch.setattr(mixing, "np", Numpy())
+    mixer.learn(counts, slots, bit, 5, weight)
+    assert np.allclose(mixer.by_sight, plain.by_sight, atol=1e-5) and np.allclose(mixer.by_place, plain.by_place, atol=1e-5)
+    assert (mixer.refined != mixing.Mixer().refined).any()
+
+
 def test_mixing_learns(spark, docs):
     held = language.held_out(F.col("doc_id"), 7, 2)
     rows = mixing.score(docs, held, kind_col="lang").where("held_out").collect()
