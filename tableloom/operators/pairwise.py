@@ -302,6 +302,13 @@ def _concat(parts: list[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
 
 def cosine_topn(vectors: DataFrame, n: int, min_sim: float | None = None, block_rows: int | None = None) -> DataFrame:
     """(id, other, similarity, rank): the n most similar others of every vector with similarity >= min_sim."""
+    if block_rows is None:
+        # Imported here, as boxes build on this module.
+        from tableloom.operators import boxes
+
+        vectors = cut_lineage(vectors.select("id", "vec"))
+        if boxes.suits(vectors):
+            return boxes.cosine_topn(vectors, n, min_sim)
     packed = pack_blocks(vectors, block_rows, by_direction=True)
     bar = -np.inf if min_sim is None else min_sim
     kind = vectors.schema["id"].dataType
@@ -459,8 +466,14 @@ def cosine_values(vectors: DataFrame, buckets: list[int], packed: Packed | None
     return tiles.groupBy("bucket", "step").agg(F.sum("n").alias("n"))
 
 
-def cosine_counts(vectors: DataFrame, min_sim: float, block_rows: int | None = None) -> DataFrame:
-    """(id, n): how many vectors, itself included, reach `min_sim`."""
+def cosine_counts(vectors: DataFrame, min_sim: float, block_rows: int | None = None, at_most: int | None = None) -> DataFrame:
+    """(id, n): how many vectors, itself included, reach `min_sim`; where more than `at_most` are not told apart, no more need be counted."""
+    if block_rows is None:
+        from tableloom.operators import boxes
+
+        vectors = cut_lineage(vectors.select("id", "vec"))
+        if boxes.suits(vectors):
+            return boxes.cosine_counts(vectors, min_sim, at_most)
     packed = pack_blocks(vectors, block_rows, by_direction=True)
     summary, slack = packed.summary, 10.0**-DIGITS
 

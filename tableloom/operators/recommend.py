@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from tableloom.functions.scalars import rounded
-from tableloom.operators.pairwise import STEP_DIGITS, cosine_buckets, cosine_counts, cosine_counts_of, cosine_topn, cosine_values, pack_blocks
+from tableloom.operators import boxes
+from tableloom.operators.pairwise import STEP_DIGITS, cosine_buckets, cosine_counts, cosine_counts_of, cosine_topn, cosine_values, pack_blocks, quoted
 from tableloom.operators.profile import interaction_density
+from tableloom.session import cut_lineage
+
+# Items of a user that travel as one row.
+LIST = 4096
 
 
 @dataclass(frozen=True)
@@ -53,6 +60,12 @@ def similarity_stats(vectors: DataFrame, block_rows: int | None = None) -> DataF
     buckets that hold the smallest, the largest and the quartile values; a second pass looks into those, where the blocks'
     directions allow them, and gives them to the sixth digit.
     """
+    if block_rows is None:
+        vectors = cut_lineage(vectors.select("id", "vec"))
+        if boxes.suits(vectors):
+            shares = {"min_positive": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75}
+            found = boxes.matrix_facts(vectors, shares, (0.3, 0.5))
+            return _matrix_row(vectors, found["size"], found["mean"], found["max"], found["quantiles"], *found["above"])
     packed = pack_blocks(vectors, block_rows, by_direction=True)
     # At most 2,002 rows.
     buckets = sorted((r["bucket"], r["n"], r["total"]) for r in cosine_buckets(vectors, packed).collect())
@@ -95,11 +108,14 @@ def similarity_stats(vectors: DataFrame, block_rows: int | None = None) -> DataF
             share = ranks[name] - low
             first = value_at(low)
             facts[name] = first + (value_at(low + 1) - first) * share if share else first
+    most = max(s for s, _ in inside[buckets[-1][0]]) / 10**STEP_DIGITS if cells else None
+    return _matrix_row(vectors, size, sum(t for _, _, t in buckets) / cells if cells else None, most, facts, above(300), above(500))
+
+
+def _matrix_row(vectors: DataFrame, size: int, mean: float | None, most: float | None, facts: dict[str, float | None], over_03: int, over_05: int) -> DataFrame:
     row = (
-        size, sum(t for _, _, t in buckets) / cells if cells else None,
-        max(s for s, _ in inside[buckets[-1][0]]) / 10**STEP_DIGITS if cells else None,
-        facts["min_positive"], facts["q25"], facts["q50"], facts["q75"],
-        above(300) / size if size else None, above(500) / 2 / (size * (size - 1) / 2) * 100 if size > 1 else None,
+        size, mean, most, facts["min_positive"], facts["q25"], facts["q50"], facts["q75"],
+        over_03 / size if size else None, over_05 / 2 / (size * (size - 1) / 2) * 100 if size > 1 else None,
     )
     return vectors.sparkSession.createDataFrame([row], (
         "n_entities bigint, mean_similarity double, max_similarity double, min_positive double, q25 double, q50 double, q75 double, "
@@ -108,7 +124,7 @@ def similarity_stats(vectors: DataFrame, block_rows: int | None = None) -> DataF
 
 def param_impact(vectors: DataFrame, settings: Settings) -> DataFrame:
     """What a choice of parameters yields: mean neighbours (self included, capped at N), coverage, warning."""
-    counts = cosine_counts(vectors, settings.min_similarity).withColumn("kept", F.least("n", F.lit(settings.neighbours)))
+    counts = cosine_counts(vectors, settings.min_similarity, at_most=settings.neighbours).withColumn("kept", F.least("n", F.lit(settings.neighbours)))
     enough = F.count_if(F.col("kept") >= settings.neighbours)
     pct = F.try_divide(enough * 100.0, F.count(F.lit(1)).cast("double"))
     return counts.agg(
@@ -148,27 +164,72 @@ def similar_entities(vectors: DataFrame, settings: Settings, block_rows: int | N
     return cosine_topn(vectors, settings.neighbours, settings.min_similarity, block_rows)
 
 
-def _candidates(neighbours: DataFrame, owned: DataFrame) -> DataFrame:
-    """(user, item, other, similarity): items of similar users that the user does not have yet."""
-    found = neighbours.select(F.col("id").alias("user"), "other", "similarity").join(
-        owned.select(F.col("user").alias("other"), "item"), "other")
-    return found.join(owned, ["user", "item"], "left_anti")
+def item_lists(owned: DataFrame) -> DataFrame:
+    """(user, items): the items of each user in lists of at most `LIST`, so that what a user has is a few rows and not one per item."""
+    nth = F.row_number().over(Window.partitionBy("user").orderBy("item"))
+    rows = owned.select("user", "item", F.floor((nth - 1) / LIST).alias("part"))
+    return rows.groupBy("user", "part").agg(F.collect_list("item").alias("items")).select("user", "items")
+
+
+def _best_items(top: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What `recommend_user` works out of rows (user, similarity, items) that lie by users; those without a similarity are the user's own."""
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        users, lengths = rows["user"].to_numpy(), [len(x) for x in rows["items"]]
+        firsts = np.nonzero(np.append(True, users[1:] != users[:-1]))[0]
+        who = np.repeat(np.searchsorted(firsts, np.arange(len(users)), side="right") - 1, lengths)
+        names, item = np.unique(np.concatenate([np.asarray(x) for x in rows["items"]]), return_inverse=True)
+        similarity = np.repeat(rows["similarity"].to_numpy(dtype=np.float64), lengths)
+        order = np.argsort(who * len(names) + item, kind="stable")
+        who, item, similarity = who[order], item[order], similarity[order]
+        at = np.nonzero(np.append(True, (who[1:] != who[:-1]) | (item[1:] != item[:-1])))[0]
+        own = np.isnan(similarity)
+        fresh = ~np.logical_or.reduceat(own, at)
+        mean = np.add.reduceat(np.where(own, 0.0, similarity), at) / np.diff(np.append(at, len(who)))
+        who, item, mean = who[at][fresh], item[at][fresh], np.minimum(quoted(mean[fresh]), 1.0)
+        order = np.lexsort((item, -mean, who))
+        who, item, mean = who[order], item[order], mean[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who, side="left") + 1
+        keep = rank <= top
+        return pd.DataFrame({"user": users[firsts][who[keep]], "rank": rank[keep].astype(np.int32), "item": names[item[keep]], "confidence": mean[keep]})
+
+    return best
 
 
 def recommend_user(neighbours: DataFrame, owned: DataFrame, top: int = 5) -> DataFrame:
     """(user, rank, item, confidence): mean similarity of the neighbours who have the item, at most 1.
 
-    Only N neighbours per user enter; a neighbour shared by very many users is split at run time.
+    Only N neighbours per user enter; a neighbour shared by very many users is split at run time. Items travel in lists
+    and are laid out one by one only where a user's neighbours have met, a batch of users at a time.
     """
-    found = neighbours.select(F.col("id").alias("user"), "other", "similarity").join(
-        owned.select(F.col("user").alias("other"), "item"), "other").select("user", "item", "similarity")
-    # Owned items ride along without a similarity and drop their group: one shuffle instead of an extra join.
-    marked = found.withColumn("own", F.lit(0)).unionByName(
-        owned.select("user", "item", F.lit(None).cast("double").alias("similarity"), F.lit(1).alias("own")))
-    fresh = marked.groupBy("user", "item").agg(F.avg("similarity").alias("mean"), F.max("own").alias("own")).where("own = 0").select(
-        "user", "item", F.least(rounded(F.col("mean"), 12), F.lit(1.0)).alias("confidence"))
-    rank = F.row_number().over(Window.partitionBy("user").orderBy(F.col("confidence").desc(), "item"))
-    return fresh.withColumn("rank", rank).where(F.col("rank") <= top).select("user", "rank", "item", "confidence")
+    lists = cut_lineage(item_lists(owned))
+    found = neighbours.select(F.col("id").alias("user"), "other", "similarity").join(lists.withColumnRenamed("user", "other"), "other").select("user", "similarity", "items")
+    # What a user has rides along without a similarity.
+    both = found.unionByName(lists.select("user", F.lit(None).cast("double").alias("similarity"), "items"))
+    both = both.repartition("user").sortWithinPartitions("user")
+    best = _best_items(top)
+
+    def by_users(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        for part in parts:
+            if not len(part):
+                continue
+            # The last user may go on in the next batch.
+            if waiting and waiting[-1]["user"].iloc[-1] != part["user"].iloc[0]:
+                yield best(pd.concat(waiting))
+                waiting = []
+            whole = int((part["user"] != part["user"].iloc[-1]).sum())
+            if whole:
+                yield best(pd.concat([*waiting, part.iloc[:whole]]))
+                waiting = []
+            waiting.append(part.iloc[whole:])
+        if waiting:
+            yield best(pd.concat(waiting))
+
+    schema = T.StructType([
+        T.StructField("user", both.schema["user"].dataType), T.StructField("rank", T.IntegerType()), T.StructField("item", owned.schema["item"].dataType),
+        T.StructField("confidence", T.DoubleType())])
+    return both.mapInPandas(by_users, schema)
 
 
 def recommend_item(neighbours: DataFrame) -> DataFrame:
@@ -202,9 +263,16 @@ def reco_table(recs: DataFrame, entity: str, product: str) -> DataFrame:
 
 def reco_evidence(neighbours: DataFrame, owned: DataFrame, recs: DataFrame, top: int = 3) -> DataFrame:
     """Why: per recommended (user, item) how many neighbours have it and the most similar of them."""
-    found = _candidates(neighbours, owned).join(recs.select("user", "item"), ["user", "item"], "left_semi")
+    # Each user's few items are sought in the lists of the neighbours, and in the user's own, which rule an item out.
+    wanted = recs.select("user", "item").where("user is not null and item is not null").groupBy("user").agg(F.collect_set("item").alias("wanted"))
+    asked = neighbours.select(F.col("id").alias("user"), "other", "similarity").unionByName(
+        wanted.select("user", F.col("user").alias("other"), F.lit(None).cast("double").alias("similarity"))).join(wanted, "user")
+    hits = asked.join(item_lists(owned).withColumnRenamed("user", "other"), "other").select(
+        "user", "other", "similarity", F.explode(F.array_intersect("wanted", "items")).alias("item"))
     # At most N neighbours per (user, item).
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("other").alias("o"))))
+    other = F.when(F.col("similarity").isNotNull(), F.struct((-F.col("similarity")).alias("s"), F.col("other").alias("o")))
+    ranked = F.sort_array(F.collect_list(other))
     text = F.array_join(F.transform(F.slice(ranked, 1, top), lambda x: F.concat(
         x["o"].cast("string"), F.lit(":"), F.format_string("%.4f", rounded(-x["s"], 4)))), ", ")
-    return found.groupBy("user", "item").agg(F.count(F.lit(1)).alias("n_neighbours"), text.alias("evidence"))
+    found = hits.groupBy("user", "item").agg(F.count(F.lit(1)).alias("n_neighbours"), F.count_if(F.col("similarity").isNull()).alias("own"), text.alias("evidence"))
+    return found.where("own = 0").select("user", "item", "n_neighbours", "evidence")

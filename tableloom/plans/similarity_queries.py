@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tableloom.functions.scalars import money_sum, rounded
 from tableloom.operators import cluster, features, pairwise, recommend, sparse
 from tableloom.plans.base import query, r, round_all, table
+from tableloom.session import cut_lineage
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 # Prices of open low-priority orders are missing here, so that filling has work to do.
@@ -174,7 +175,8 @@ _USER_RECS_SQL = f"with {USERS_SQL}, {_sims('uv', 6)}, {_TOP_SQL}, {_RECS_SQL}"
 
 def user_recs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Neighbours, owned items and recommendations of the balanced preset."""
-    neighbours = recommend.similar_entities(user_vectors(spark, sf), BALANCED)
+    # Both the recommendations and what speaks for them read it.
+    neighbours = cut_lineage(recommend.similar_entities(user_vectors(spark, sf), BALANCED))
     owned = owned_items(spark, sf)
     return neighbours, owned, recommend.recommend_user(neighbours, owned)
 
