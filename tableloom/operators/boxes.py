@@ -30,7 +30,7 @@ CROWDED = 4
 # Vectors per box in the sample that decides on the cuts, which no answer depends on.
 SAMPLE = 32
 # Cells worked on at once.
-CELLS = 65_536
+CELLS = 250_000
 # Vectors that may ask one box from one task.
 ASKING = 1_000_000
 # What rounding may do to a bound.
@@ -480,9 +480,7 @@ def matrix_facts(vectors: DataFrame, shares: dict[str, float], limits: Sequence[
     whether they were right. Where they were not, another pass looks at what is left.
     """
     rows, _ = merged(vectors)
-    # Smaller boxes, so that more limits are decided without a look.
-    heads = rows.count()
-    boxes = in_boxes(rows, heads, box=box or max(BOX // 2, -(-heads // MOST_BOXES)))
+    boxes = in_boxes(rows, rows.count(), box=box)
     size = int(boxes.weight.sum())
     total = np.zeros(boxes.low.shape[1])
 
